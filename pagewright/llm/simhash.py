@@ -28,7 +28,22 @@ from pyspark.sql import functions as F
 from ._common import WORD, cut, in_slices, text_hash
 
 BITS = 64
-RECORD = np.dtype([("key", "<i8"), ("node", "<i8"), ("lo", "<u8"), ("hi", "<u8"), ("n", "<i4"), ("own", "<i4")])
+#: A probe record, 24 bytes: the key's highest bit marks a code in its own cell. The node's
+#: identity follows from the code, so it doesn't travel.
+RECORD = np.dtype([("key", "<u4"), ("n", "<i4"), ("lo", "<u8"), ("hi", "<u8")])
+OWN = np.uint32(1 << 31)
+
+
+def node_of(lo: np.ndarray, hi: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64-bit identity of a code and its word count."""
+
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    with np.errstate(over="ignore"):
+        return mix(lo.astype("<u8") ^ mix(hi.astype("<u8") ^ mix(n.astype("<u8") + np.uint64(0x9E3779B97F4A7C15)))).view("<i8")
 
 
 @dataclass(frozen=True)
@@ -79,7 +94,7 @@ class Voter:
 
 
 def codes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, th, lo, hi, n): th is a hash of the text, which tells rows that share an id apart.
+    """(doc_id, th, lo, hi, n, node): th is a hash of the text, which tells rows that share an id apart.
 
     Rows with a null id, and rows whose text is null or has no word, have no code and are left out.
     """
@@ -89,11 +104,12 @@ def codes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         for batch in in_slices(batches, 2000):
             found = [voter.code(t) for t in batch.column(2).to_pylist()]
             keep = pa.array([f is not None for f in found], pa.bool_())
-            a = np.array([f for f in found if f is not None], dtype=np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 2].astype(np.int32))], names=["doc_id", "th", "lo", "hi", "n"])
+            a = np.array([f for f in found if f is not None], dtype=np.int64).reshape(-1, 3).T.copy().T
+            node = node_of(a[:, 0].view("<u8"), a[:, 1].view("<u8"), a[:, 2])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 2].astype(np.int32)), pa.array(node)], names=["doc_id", "th", "lo", "hi", "n", "node"])
 
     narrow = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(text).alias("th"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, th long, lo long, hi long, n int")
+    return narrow.mapInArrow(run, "doc_id long, th long, lo long, hi long, n int, node long")
 
 
 # --- the plan: partitions and thresholds ----------------------------------------------------------
@@ -241,7 +257,7 @@ def make_plan(uniq: DataFrame, params: SimHashParams = SimHashParams()) -> Plan:
 # --- probing and verification -----------------------------------------------------------------------
 
 
-def probe_records(node: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, plan: Plan) -> np.ndarray:
+def probe_records(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, plan: Plan) -> np.ndarray:
     """One record for each key a code may share; a neighbour's key is probed by the smaller value only."""
     out = []
     for k, (part, t) in enumerate(zip(plan.parts, plan.thresholds)):
@@ -253,8 +269,8 @@ def probe_records(node: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarra
             w = v ^ mask
             at = slice(None) if mask == 0 else np.flatnonzero(w > v)
             r = np.empty(len(v) if mask == 0 else len(at), dtype=RECORD)
-            r["key"], r["own"] = (k << 32) | w[at], mask == 0
-            r["node"], r["lo"], r["hi"], r["n"] = node[at], lo[at], hi[at], n[at]
+            r["key"] = (k << 20) | w[at] | (int(OWN) if mask == 0 else 0)
+            r["lo"], r["hi"], r["n"] = lo[at], hi[at], n[at]
             out.append(r)
     return np.concatenate(out) if out else np.empty(0, dtype=RECORD)
 
@@ -287,13 +303,15 @@ def min_labels(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
 
 def link(records: np.ndarray, params: SimHashParams, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Star edges that join what is alike within one bucket, all its keys together."""
-    records = records[np.lexsort((-records["own"], records["key"]))]
-    node, place = np.unique(records["node"], return_inverse=True)
-    starts = np.flatnonzero(np.diff(records["key"], prepend=records["key"][:1] - 1)) if len(records) else []
+    cell, mine = records["key"] & ~OWN, records["key"] >= OWN
+    order = np.lexsort((~mine, cell))
+    records, cell, mine = records[order], cell[order], mine[order]
+    node, place = np.unique(node_of(records["lo"], records["hi"], records["n"]), return_inverse=True)
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(records) else []
     ends = [*starts[1:], len(records)]
     pairs_a, pairs_b, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
     for s, e in zip(starts, ends):
-        own = int(records["own"][s:e].sum())
+        own = int(mine[s:e].sum())
         if not own or e - s < 2:
             continue
         # Chunked by both sides, so that a hot key needs no more memory than another.
@@ -325,9 +343,9 @@ def edges(uniq: DataFrame, plan: Plan, params: SimHashParams) -> DataFrame:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 20_000):
-            node, lo, hi, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            r = probe_records(node, lo.view("<u8"), hi.view("<u8"), n, plan)
-            mixed = (r["key"].view("<u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            lo, hi, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            r = probe_records(lo.view("<u8"), hi.view("<u8"), n, plan)
+            mixed = ((r["key"] & ~OWN).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             bucket = (mixed % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             r, bucket = r[order], bucket[order]
@@ -340,7 +358,7 @@ def edges(uniq: DataFrame, plan: Plan, params: SimHashParams) -> DataFrame:
         a, b = link(np.frombuffer(b"".join(blobs), dtype=RECORD), params)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    packed = uniq.select("node", "lo", "hi", "n").mapInArrow(probe, "bucket int, data binary")
+    packed = uniq.select("lo", "hi", "n").mapInArrow(probe, "bucket int, data binary")
     return packed.groupBy("bucket").applyInArrow(verify, "a long, b long")
 
 
@@ -371,10 +389,8 @@ def groups(docs: DataFrame, params: SimHashParams = SimHashParams(), doc_id: str
     Rows with equal id and text count as one document; rows that share an id but not the
     text are documents of their own. The kept one is the group's smallest (doc_id, th).
     """
-    node = F.xxhash64("lo", "hi", "n").alias("node")
-    every = cut(codes(docs, doc_id, text).distinct().select("*", node))
-    uniq = every.groupBy("node", "lo", "hi", "n").agg(F.count(F.lit(1)).alias("members"))
-    uniq = cut(uniq)
+    every = cut(codes(docs, doc_id, text).distinct())
+    uniq = cut(every.select("node", "lo", "hi", "n").distinct())
     labels = components(edges(uniq, make_plan(uniq, params), params))
     named = every.select("doc_id", "th", "node").join(labels, "node", "left").select("doc_id", "th", F.coalesce("label", "node").alias("label"))
     best = named.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("kept"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
