@@ -42,6 +42,8 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "proprietary": ("confidential and proprietary", "unauthorized copying of this file via any medium is strictly prohibited"),
 }
 COPYRIGHT = "copyright"
+#: A notice names a year or carries the sign (c); prose about copyright does neither.
+NOTICE = "^copyright (c |[0-9]{4})"
 
 #: Rules in the order they are tried; each consumes its identifiers where they follow one another.
 RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
@@ -91,9 +93,9 @@ def normalise(sentence: Column) -> Column:
 
 
 def lookup(sentence: Column) -> Column:
-    """Identifier of a normalised sentence, null if unknown; any copyright line is one sentence."""
+    """Identifier of a normalised sentence, null if unknown; any copyright notice is one sentence."""
     table = F.create_map(*[F.lit(x) for kv in sorted(KNOWN.items()) for x in kv])
-    return F.coalesce(F.try_element_at(table, sentence), F.when(sentence.startswith("copyright "), F.lit(COPYRIGHT)))
+    return F.coalesce(F.try_element_at(table, sentence), F.when(sentence.rlike(NOTICE), F.lit(COPYRIGHT)))
 
 
 def consumed(sequence: Column) -> Column:
@@ -137,7 +139,7 @@ WITH lines AS (
   FROM documents WHERE {anchors}),
 one AS (SELECT r, doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS k FROM lines),
 norm AS (SELECT r, doc_id, k, trim(regexp_replace(regexp_replace(lower(l), '[^a-z0-9.]+', ' ', 'g'), '\\.+( |$)', '\\1', 'g')) AS s FROM one),
-found AS (SELECT r, doc_id, k, CASE {cases} WHEN starts_with(s, 'copyright ') THEN 'copyright' END AS id FROM norm),
+found AS (SELECT r, doc_id, k, CASE {cases} WHEN regexp_matches(s, '{NOTICE}') THEN 'copyright' END AS id FROM norm),
 seq AS (SELECT r, doc_id, list(id ORDER BY k) AS ids FROM found WHERE id IS NOT NULL GROUP BY r, doc_id),
 cut AS (SELECT doc_id, ids, {left} AS rest FROM seq)
 SELECT doc_id, array_to_string(ids, ' ') AS sentence_ids,
