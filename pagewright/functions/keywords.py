@@ -8,13 +8,14 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 @lru_cache(maxsize=1)
 def _folding() -> tuple[str, str, list[tuple[str, str]]]:
     """Letters that decompose to one sign, and those that decompose to several."""
     one_from, one_to, many = [], [], []
-    for point in range(0xA0, 0x2500):
+    for point in (*range(0xA0, 0x250), *range(0x370, 0x460), *range(0x1E00, 0x2000)):
         sign = chr(point)
         plain = "".join(c for c in unicodedata.normalize("NFKD", sign) if not unicodedata.combining(c)).lower()
         if plain != sign and plain != sign.lower():
@@ -27,7 +28,7 @@ def _folding() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents, by table: exact for letters below U+2500 with one base sign.
+    """Lower case without accents, by table: exact for Latin, Greek and Cyrillic letters with one base sign.
 
     Signs that become several (ligatures, fractions) need ``fold_exact``.
     """
@@ -35,7 +36,7 @@ def fold(text: Column) -> Column:
     return F.lower(F.translate(F.regexp_replace(text, r"\p{M}", ""), source, target))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_exact(text: pd.Series) -> pd.Series:
     """Compatibility decomposition of any text; vectorised, but outside the JVM."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower())

@@ -69,10 +69,14 @@ def remove_overlapping(texts: DataFrame, tables: DataFrame, threshold: float = 0
     Page keys keep this a hash join; the overlap is its residual condition. Blocks
     without area stay.
     """
-    t = tables.select(*[F.col(c).alias(f"t_{c}") for c in PAGE], F.col("bbox").alias("t_bbox"))
-    size = G.area(texts["bbox"])
-    hit = (texts["doc_id"] == t["t_doc_id"]) & (texts["page"] == t["t_page"]) & (size > 0) & (G.overlap(texts["bbox"], t["t_bbox"]) / F.nullif(size, F.lit(0.0)) > threshold)
-    return texts.join(t, hit, "left_anti")
+    corners = ("x1", "y1", "x2", "y2")
+    # Plain columns: a join condition on struct fields defeats the pruning of nested columns.
+    t = tables.select(*[F.col(c).alias(f"t_{c}") for c in PAGE], *[F.col(f"bbox.{c}").alias(f"t_{c}") for c in corners])
+    x = texts.withColumns({f"__{c}": F.col(f"bbox.{c}") for c in corners})
+    a, b = ({c: F.col(p + c) for c in corners} for p in ("__", "t_"))
+    size = G.area(a)
+    hit = (F.col("doc_id") == F.col("t_doc_id")) & (F.col("page") == F.col("t_page")) & (size > 0) & (G.overlap(a, b) > threshold * size)
+    return x.join(t, hit, "left_anti").drop(*[f"__{c}" for c in corners])
 
 
 def detect_columns(blocks: DataFrame, min_blocks: int = 4, gap: float = 0.08, min_side: float = 0.2) -> DataFrame:

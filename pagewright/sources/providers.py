@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WORDS = "doc_id string, page int, pos long, text string, x0 double, x1 double, top double, bottom double"
@@ -40,43 +40,45 @@ class ChatClient(Protocol):
     def chat(self, messages: list[dict], tools: list[dict] | None = None) -> dict: ...
 
 
+def _rows(ddl: str, rows_of, columns: tuple[str, ...], source: DataFrame) -> DataFrame:
+    """Map rows of ``columns`` to any number of dictionaries; keys that lack become nulls."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(len(columns)))):
+                found = list(rows_of(*row))
+                if found:
+                    yield pa.RecordBatch.from_pylist([{k: r.get(k) for k in schema.names} for r in found], schema=schema)
+
+    return source.select(*columns).mapInArrow(run, ddl)
+
+
 def extract(files: DataFrame, reader: PdfReader, what: str, ddl: str) -> DataFrame:
     """Rows of one kind from (doc_id, content); a file that fails gives no rows here.
 
     For ``pages`` a failure gives one page 1 with the error, so that it is not lost.
     """
-    from pyspark.sql.types import StructType
-
-    names = StructType.fromDDL(ddl).fieldNames()
 
-    def run(parts):
-        for pdf in parts:
-            rows: list[dict] = []
-            for doc, content in zip(pdf["doc_id"], pdf["content"]):
-                try:
-                    rows += list(getattr(reader, what)(doc, bytes(content)))
-                except Exception as e:  # noqa: BLE001 - a broken file must not stop the others
-                    if what == "pages":
-                        rows.append({"doc_id": doc, "page": 1, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=names)
+    def rows_of(doc: str, content: bytes) -> list[dict]:
+        try:
+            return list(getattr(reader, what)(doc, content))
+        except Exception as e:  # noqa: BLE001 - a broken file must not stop the others
+            return [{"doc_id": doc, "page": 1, "error": f"{type(e).__name__}: {e}"}] if what == "pages" else []
 
-    return files.select("doc_id", "content").mapInPandas(run, ddl)
+    return _rows(ddl, rows_of, ("doc_id", "content"), files)
 
 
 def recognise(pages: DataFrame, engine: OcrEngine, ddl: str = OCR_WORDS) -> DataFrame:
     """Recognition rows of (doc_id, page, content); a page that fails gives none."""
-    from pyspark.sql.types import StructType
-
-    names = StructType.fromDDL(ddl).fieldNames()
 
-    def run(parts):
-        for pdf in parts:
-            rows: list[dict] = []
-            for doc, page, content in zip(pdf["doc_id"], pdf["page"], pdf["content"]):
-                try:
-                    rows += list(engine.recognise(doc, int(page), bytes(content)))
-                except Exception:  # noqa: BLE001
-                    continue
-            yield pd.DataFrame(rows, columns=names)
+    def rows_of(doc: str, page: int, content: bytes) -> list[dict]:
+        try:
+            return list(engine.recognise(doc, page, content))
+        except Exception:  # noqa: BLE001
+            return []
 
-    return pages.select("doc_id", "page", "content").mapInPandas(run, ddl)
+    return _rows(ddl, rows_of, ("doc_id", "page", "content"), pages)
