@@ -29,7 +29,7 @@ class TokenOutputParams:
     #: Ids that close a shard.
     shard_tokens: int = 1 << 20
     #: Re-Pair: most rounds, pairs replaced in one, and how often a pair must occur.
-    rounds: int = 16
+    rounds: int = 12
     pairs_a_round: int = 1024
     least_count: int = 8
 
@@ -40,53 +40,57 @@ def repair(ids: np.ndarray, doc_starts: np.ndarray, base: int, params: TokenOutp
     Pairs never span documents. Within a round the most frequent pairs go first and
     overlapping occurrences are taken from the left.
     """
-    wide = np.uint64(32)
     symbols, starts = ids.astype(np.uint32), doc_starts.astype(np.int64)
     rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.int64)
     for _ in range(params.rounds):
         if len(symbols) < 2:
             break
         top = base + len(rules)
-        if top <= 0xFFFF:  # half as wide keys sort twice as fast
-            key = (symbols[:-1] << np.uint32(16)) | symbols[1:]
-        else:
-            key = (symbols[:-1].astype(np.uint64) << wide) | symbols[1:]
-        within = np.ones(len(key), dtype=bool)
+        kind, shift = (np.uint32, 16) if top < 0xFFFF else (np.uint64, 32)  # narrow keys sort twice as fast
+        key = symbols.astype(kind)
+        key = (key[:-1] << kind(shift)) | key[1:]
+        never = kind(np.iinfo(kind).max)
         inner = starts[(starts > 0) & (starts < len(symbols))] - 1
-        within[inner] = False
-        ordered = np.sort(key[within])
+        key[inner] = never
+        ordered = np.sort(key)
+        ordered = ordered[: np.searchsorted(ordered, never)]
         if not len(ordered):
             break
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        count = np.diff(np.append(first, len(ordered)))
+        first = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+        count = np.diff(first, append=len(ordered))
         often = np.flatnonzero(count >= params.least_count)
         if len(often) > params.pairs_a_round:
             often = often[np.argsort(-count[often], kind="stable")[: params.pairs_a_round]]
         if not len(often):
             break
         chosen = np.sort(ordered[first[often]])
-        shift = 16 if key.dtype == np.uint32 else 32
-        left, right = (chosen >> key.dtype.type(shift)).astype(np.uint32), (chosen & key.dtype.type((1 << shift) - 1)).astype(np.uint32)
-        can_left, can_right = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
-        can_left[left], can_right[right] = True, True
-        at = np.flatnonzero(can_left[symbols[:-1]] & can_right[symbols[1:]] & within)
-        which = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
-        hit = chosen[which] == key[at]
-        at, which = at[hit], which[hit]
+        left, right = (chosen >> kind(shift)).astype(np.int64), (chosen & kind((1 << shift) - 1)).astype(np.int64)
+        # A pair is found by two small numbers: which left symbol, which right symbol.
+        lefts, li = np.unique(left, return_inverse=True)
+        rights, ri = np.unique(right, return_inverse=True)
+        wide = len(rights) + 1
+        row, column = np.zeros(top, dtype=np.int32), np.full(top, len(rights), dtype=np.int32)
+        row[lefts], column[rights] = (np.arange(len(lefts)) + 1) * wide, np.arange(len(rights))
+        pair = np.full((len(lefts) + 1) * wide, -1, dtype=np.int16)
+        pair[(li + 1) * wide + ri] = np.arange(len(chosen))
+        which = pair[row[symbols[:-1]] + column[symbols[1:]]]
+        which[inner] = -1
+        at = np.flatnonzero(which >= 0)
         run = np.concatenate([[True], np.diff(at) != 1])
         since = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        at, which = at[since % 2 == 0], which[since % 2 == 0]
-        used = np.unique(which)
+        at = at[since % 2 == 0]
+        which = which[at].astype(np.int64)
+        used = np.flatnonzero(np.bincount(which, minlength=len(chosen)))
         name = np.zeros(len(chosen), dtype=np.uint32)
         name[used] = top + np.arange(len(used))
-        size = np.concatenate([np.ones(base, np.int64), lengths])
-        rules = np.concatenate([rules, np.stack([left[used], right[used]], axis=1)])
-        lengths = np.concatenate([lengths, size[left[used]] + size[right[used]]])
+        rules = np.concatenate([rules, np.stack([left[used], right[used]], axis=1).astype(np.uint32)])
+        whole = np.concatenate([np.ones(base, np.int64), lengths])
+        lengths = np.concatenate([lengths, whole[left[used]] + whole[right[used]]])
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
         symbols[at] = name[which]
-        moved = np.concatenate([[0], np.cumsum(keep)])
-        symbols, starts = symbols[keep], moved[starts]
+        symbols = symbols[keep]
+        starts = starts - np.searchsorted(at + 1, starts, side="left")
     return symbols, starts, rules, lengths
 
 
