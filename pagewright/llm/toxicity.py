@@ -27,7 +27,7 @@ from ._common import WORD, bounded_sample, in_slices
 @dataclass(frozen=True)
 class CrfParams:
     #: Bound of the training sample: labelled documents of each class.
-    sample_docs: int = 2000
+    sample_docs: int = 1200
     #: Dimensions of the hashed features, rounds and step of the optimiser, ridge.
     dimensions: int = 1 << 18
     rounds: int = 40
@@ -207,7 +207,8 @@ def fit(texts: list[str], toxic: list[bool], params: CrfParams = CrfParams()) ->
     """Full-batch AdaGrad on the log-likelihood of the labelled tokens."""
     blank = Crf(np.zeros(params.dimensions), np.zeros(2), np.zeros((2, 2)), params)
     blank.weights[features("b", params.dimensions)[-1]] = -20.0
-    words = [WORD.findall(t) for t in texts]
+    pool: dict[str, str] = {}  # one object a word, however often it occurs
+    words = [[pool.setdefault(w, w) for w in WORD.findall(t)] for t in texts]
     flags = np.array(toxic, dtype=bool)
     if not flags.any() or flags.all():
         return blank
