@@ -27,7 +27,7 @@ def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterat
 
     Transitions may arrive out of order: the latest by (ts, seq) decides the status.
     """
-    status, created, started, completed, error, digest, ts, seq = state.get if state.exists else (None,) * 8
+    status, created, started, completed, error, digest, ts, seq = map(_none, state.get) if state.exists else (None,) * 8
     for row in pd.concat(list(parts)).sort_values(["ts", "seq"]).itertuples(index=False):
         created = row.ts if created is None else min(created, row.ts)
         if row.status == "processing":
@@ -42,7 +42,9 @@ def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterat
             error = error or _none(row.error_message)
             digest = digest or _none(row.file_hash)
     state.update((status, created, started, completed, error, digest, ts, int(seq)))
-    yield pd.DataFrame([[key[0], status, created, started, completed, error, digest]], columns=["job_id", "status", "created_at", "started_at", "completed_at", "error_message", "file_hash"])
+    # Typed columns, so that groups without a time or message don't change the batch's types.
+    times = {n: pd.Series([v], dtype="datetime64[ns]") for n, v in (("created_at", created), ("started_at", started), ("completed_at", completed))}
+    yield pd.DataFrame({"job_id": [key[0]], "status": [status], **times, "error_message": pd.Series([error], dtype=object), "file_hash": pd.Series([digest], dtype=object)})
 
 
 def job_states(events: DataFrame) -> DataFrame:

@@ -52,13 +52,20 @@ def uploads(spark):
     return spark.createDataFrame([("d", "d.pdf", GOOD.encode()), ("bad", "bad.pdf", b"%PDF-{")], "doc_id string, source_file string, content binary")
 
 
-def test_documents_end_to_end(spark, uploads):
-    got = {r.doc_id: r for r in documents.process(uploads, Reader(), Engine()).collect()}
+@pytest.fixture(scope="module")
+def processed(spark):
+    """Both files processed once; the rows as a plain table."""
+    files = spark.createDataFrame([("d", "d.pdf", GOOD.encode()), ("bad", "bad.pdf", b"%PDF-{")], "doc_id string, source_file string, content binary")
+    return spark.createDataFrame(documents.process(files, Reader(), Engine()).collect(), DOCUMENT)
+
+
+def test_documents_end_to_end(spark, processed):
+    got = {r.doc_id: r for r in processed.collect()}
     pages = got["d"].pages
     assert [(p.page, p.source, [b.text for b in p.blocks]) for p in pages] == [(1, "digital", ["Hello there", None]), (2, "ocr", ["scanned words here"]), (3, "ocr", ["scanned words here"])]
     assert pages[0].blocks[1].rows == [["a", "b"]] and pages[0].blocks[1].block_id == "p1_t2" and pages[1].blocks[0].lines[0].text == "scanned words here"
     assert [p.source for p in got["bad"].pages] == ["ocr"]
-    totals = {r.doc_id: (r.total_pages, r.n_blocks, r.n_tables) for r in documents.summary(documents.process(uploads, Reader(), Engine())).collect()}
+    totals = {r.doc_id: (r.total_pages, r.n_blocks, r.n_tables) for r in documents.summary(processed).collect()}
     assert totals["d"] == (3, 4, 1)
 
 
@@ -67,8 +74,8 @@ def test_without_an_engine(spark, uploads):
     assert got["d"] == [2, 0, 0]
 
 
-def test_json_round_trip(spark, uploads, tmp_path):
-    docs = documents.process(uploads, Reader(), Engine())
+def test_json_round_trip(spark, processed, tmp_path):
+    docs = processed
     files.write_documents(docs, str(tmp_path / "j"))
     back = files.read_documents(spark, str(tmp_path / "j"))
     assert back.count() == 2 and back.where("doc_id = 'd'").first().pages[0].blocks[0].text == "Hello there"
@@ -86,7 +93,7 @@ def test_worker_stream(spark, tmp_path):
     inbox, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.pdf").write_bytes(GOOD.encode())
-    run = lambda: S.start_worker(spark, inbox, out, state, lambda f: documents.process(f, Reader(), Engine()), interval=None).awaitTermination()
+    run = lambda: S.start_worker(spark, inbox, out, state, lambda f: f.select("doc_id", "source_file", F.lit(1).alias("total_pages")), interval=None).awaitTermination()
     run()
     (tmp_path / "in" / "again.pdf").write_bytes(GOOD.encode())
     (tmp_path / "in" / "new.pdf").write_bytes(GOOD.replace("Hello", "Other").encode())
