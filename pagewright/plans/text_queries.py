@@ -31,7 +31,9 @@ def tidy(x: str) -> str:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Ids and texts. A table too small to fill the cores is spread over them; a large one is not shuffled."""
+    docs, cores = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 NORMAL = tidy(rep(rep("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]", ""), " +", " "))
