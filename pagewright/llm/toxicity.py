@@ -10,7 +10,7 @@ maximum is the document's score.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -152,23 +152,34 @@ def spans(text: str, p: np.ndarray, threshold: float) -> list[dict]:
 # --- training on the driver, on a bounded sample ----------------------------------------------------
 
 
-def copy_weights(words: list[list[str]]) -> np.ndarray:
-    """One over the size of a document's group of near copies (shared smallest 4-word hashes)."""
-    parent = list(range(len(words)))
+SKETCH = 8
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    seen: dict[int, int] = {}
+def copy_weights(words: list[list[str]], toxic: np.ndarray) -> np.ndarray:
+    """One over the number of a document's near copies, itself among them.
+
+    Near copies have the same label and share three quarters of the larger sketch of
+    smallest 4-word hashes. Copies of copies don't count, so a passage that many
+    documents hold doesn't join them.
+    """
+    numbers: dict[int, int] = {}
+    holders: list[list[int]] = []
+    sketches: list[list[int]] = []
     for k, w in enumerate(words):
-        for h in sorted({xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).lower().encode("utf-8", "replace")) for i in range(max(1, len(w) - 3))})[:8]:
-            parent[root(k)] = root(seen.setdefault(h, k))
-    roots = [root(k) for k in range(len(words))]
-    size = Counter(roots)
-    return np.array([1 / size[r] for r in roots])
+        least = sorted({xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).lower().encode("utf-8", "replace")) for i in range(max(1, len(w) - 3))})[:SKETCH]
+        own = [numbers.setdefault(h, len(numbers)) for h in least]
+        for h in own:
+            if h == len(holders):
+                holders.append([])
+            holders[h].append(k)
+        sketches.append(own)
+    lists = [np.array(h, dtype=np.int64) for h in holders]
+    size = np.array([len(s) for s in sketches], dtype=np.int64)
+    out = np.ones(len(words))
+    for k, own in enumerate(sketches):
+        shared = np.bincount(np.concatenate([lists[h] for h in own]), minlength=len(words))
+        out[k] = 1 / ((4 * shared >= 3 * np.maximum(size, size[k])) & (toxic == toxic[k])).sum()
+    return out
 
 
 def token_keys(word: str) -> list[str]:
@@ -178,7 +189,7 @@ def token_keys(word: str) -> list[str]:
 
 def offending_keys(words: list[list[str]], toxic: np.ndarray, params: CrfParams) -> set[str]:
     """Words and prefixes bound to toxic documents, by a Bonferroni-corrected likelihood ratio."""
-    weight = copy_weights(words)
+    weight = copy_weights(words, toxic)
     bad: dict[str, float] = defaultdict(float)
     good: dict[str, float] = defaultdict(float)
     for k in np.flatnonzero(toxic):

@@ -72,6 +72,22 @@ def test_copies_do_not_make_words_toxic():
     assert "=madeupword" not in keys and "=blorgful" in keys
 
 
+def test_a_common_passage_makes_no_copies():
+    rows = corpus()
+    passage = sentence(random.Random(9), 60)
+    words = [tx.WORD.findall(f"{t} {passage}" if k % 10 else t) for k, t, _ in rows]
+    toxic = np.array([bool(y) for _, _, y in rows])
+    weight = tx.copy_weights(words, toxic)
+    long = np.array([len(w) > 150 for w in words])
+    assert (weight[long] == 1).all()
+    assert {"=" + b for b in BAD} <= tx.offending_keys(words, toxic, P)
+
+
+def test_copies_of_another_label_keep_their_weight():
+    text = [sentence(random.Random(3), 50).split()] * 3
+    assert tx.copy_weights(text, np.array([True, False, False])).tolist() == [1, 0.5, 0.5]
+
+
 def test_edges(spark, edge_docs, empty_docs, edge_rows):
     rows = corpus(150)
     docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(None, "x"), (3, None)], "doc_id long, text string")
