@@ -4,7 +4,8 @@ Token labels come from the labelled documents: a word counts as offending where
 stands in a toxic document and it, or a prefix of it, is significantly bound to toxic
 documents, near copies counted once. The field has two states, hashed word features and
 learned transitions. Forward-backward marginals give offending offsets, and their
-maximum is the document's score.
+maximum is the document's score. Offending words also see how often such words stand in
+their document, since some offend only where they are frequent.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from ._common import WORD, bounded_sample, in_slices
 
 @dataclass(frozen=True)
 class CrfParams:
-    #: Bound of the training sample: labelled documents of each class.
-    sample_docs: int = 1200
+    #: Bound of the training sample: labelled documents of each class, shared evenly by languages.
+    sample_docs: int = 2000
     #: Dimensions of the hashed features, rounds and step of the optimiser, ridge.
     dimensions: int = 1 << 18
     rounds: int = 40
@@ -49,6 +50,13 @@ def features(word: str, dimensions: int) -> list[int]:
 
 
 FEATURES = len(features("x", 1 << 18))
+#: Added to the cached score of an offending word, far outside what weights can reach.
+MARK = 1e6
+
+
+def frequency(hits: int, words: int) -> tuple[float, float]:
+    """Whether offending words repeat in a document, and the logarithm of their share there."""
+    return float(hits > 1), min(4.0, max(-4.0, math.log2(128 * hits / words))) if hits else 0.0
 
 
 def runs_of_lengths(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,8 +115,8 @@ def marginals(score: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: n
 
 
 class Crf:
-    def __init__(self, weights: np.ndarray, start: np.ndarray, move: np.ndarray, params: CrfParams):
-        self.weights, self.start, self.move, self.params = weights, start, move, params
+    def __init__(self, weights: np.ndarray, start: np.ndarray, move: np.ndarray, params: CrfParams, keys: frozenset[str] = frozenset(), often: np.ndarray = np.zeros(2)):
+        self.weights, self.start, self.move, self.params, self.keys, self.often = weights, start, move, params, keys, often
         self._known: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
@@ -122,8 +130,11 @@ class Crf:
         for k in np.flatnonzero(np.isnan(out)):
             w = words[k]
             if w not in known:
-                known[w] = float(self.weights[features(w, self.params.dimensions)].sum())
+                known[w] = float(self.weights[features(w, self.params.dimensions)].sum()) + (MARK if any(t in self.keys for t in token_keys(w)) else 0.0)
             out[k] = known[w]
+        hit = out > MARK / 2
+        if hits := int(hit.sum()):
+            out[hit] += float(self.often @ frequency(hits, len(words))) - MARK
         return out
 
     def score(self, texts: list[str | None]) -> list[tuple[float, float, np.ndarray]]:
@@ -187,9 +198,12 @@ def token_keys(word: str) -> list[str]:
     return ["=" + w, *(w[:n] for n in (3, 4, 5, 6) if len(w) >= n)]
 
 
-def offending_keys(words: list[list[str]], toxic: np.ndarray, params: CrfParams) -> set[str]:
-    """Words and prefixes bound to toxic documents, by a Bonferroni-corrected likelihood ratio."""
-    weight = copy_weights(words, toxic)
+def bound_keys(words: list[list[str]], toxic: np.ndarray, weight: np.ndarray, params: CrfParams, least_share: float, tables: int) -> set[str]:
+    """Words and prefixes bound to toxic documents, by a Bonferroni-corrected likelihood ratio.
+
+    Of keys that lie in each other the one with the largest ratio stays, else the longest:
+    a short prefix would mark innocent words too.
+    """
     bad: dict[str, float] = defaultdict(float)
     good: dict[str, float] = defaultdict(float)
     for k in np.flatnonzero(toxic):
@@ -203,18 +217,43 @@ def offending_keys(words: list[list[str]], toxic: np.ndarray, params: CrfParams)
         return set()
     bad = {k: a for k, a in bad.items() if a >= 2.5}  # rarer ones can't reach significance
     prior = weight[toxic].sum() / weight.sum()
-    need, out = math.log(max(1, len(bad))) + params.certainty, set()
+    need, out = math.log(max(1, len(bad))) + math.log(tables) + params.certainty, {}
     for key, a in bad.items():
         c = good.get(key, 0.0)
         q = a / (a + c)
-        if q > 0.97:
+        if q > max(prior, least_share):
             gain = a * math.log(q / prior) + (c * math.log((1 - q) / (1 - prior)) if c else 0.0)
             if gain > need:
-                out.add(key)
+                out[key] = gain
+    kept: set[str] = set()
+    covered: set[str] = set()  # prefixes of what was kept
+    for key in sorted(out, key=lambda k: (-round(out[k], 6), -len(k), k)):
+        inner = token_keys(key[1:])[1:] if key[0] == "=" else [key[:n] for n in range(3, len(key))]
+        if key not in covered and not kept & set(inner):
+            kept.add(key)
+            covered |= set(inner)
+    return kept
+
+
+def offending_keys(words: list[list[str]], toxic: np.ndarray, params: CrfParams, languages: list[str | None] | None = None) -> set[str]:
+    """Keys that nearly only toxic documents hold, over all languages, and keys bound to them within one.
+
+    Over all languages a small share would only tell languages apart; within one any
+    significant binding counts.
+    """
+    weight = copy_weights(words, toxic)
+    out = bound_keys(words, toxic, weight, params, 0.97, 1)
+    if languages is not None:
+        names = sorted({x or "" for x in languages})
+        for name in names:
+            own = np.array([(x or "") == name for x in languages])
+            at = np.flatnonzero(own)
+            if toxic[at].any():
+                out |= bound_keys([words[k] for k in at], toxic[at], weight[at], params, 0.0, len(names))
     return out
 
 
-def fit(texts: list[str], toxic: list[bool], params: CrfParams = CrfParams()) -> Crf:
+def fit(texts: list[str], toxic: list[bool], params: CrfParams = CrfParams(), languages: list[str | None] | None = None) -> Crf:
     """Full-batch AdaGrad on the log-likelihood of the labelled tokens."""
     blank = Crf(np.zeros(params.dimensions), np.zeros(2), np.zeros((2, 2)), params)
     blank.weights[features("b", params.dimensions)[-1]] = -20.0
@@ -223,31 +262,36 @@ def fit(texts: list[str], toxic: list[bool], params: CrfParams = CrfParams()) ->
     flags = np.array(toxic, dtype=bool)
     if not flags.any() or flags.all():
         return blank
-    keys = offending_keys(words, flags, params)
+    keys = offending_keys(words, flags, params, languages)
     if not keys:
         return blank
     vocabulary: dict[str, int] = {}
     ids: list[np.ndarray] = []
     labels: list[np.ndarray] = []
+    marks: list[np.ndarray] = []  # offending words, of clean documents too
+    share: list[tuple[float, float]] = []  # of each sequence's document
     offending: dict[str, bool] = {}
-    spare = int(flags.sum())  # as many clean documents as toxic ones train the field
+    spare = int(flags.sum())  # as many clean documents as toxic ones train the field, and all that hold a key
     for w, bad in zip(words, flags):
-        y = np.zeros(len(w))
+        mark = np.zeros(len(w))
+        for k, x in enumerate(w):
+            if x not in offending:
+                offending[x] = any(t in keys for t in token_keys(x))
+            mark[k] = offending[x]
+        y = mark if bad else np.zeros(len(w))
         if not bad:
             spare -= 1
-            if spare < 0:
+            if spare < 0 and not mark.any():
                 continue
-        if bad:
-            for k, x in enumerate(w):
-                if x not in offending:
-                    offending[x] = any(t in keys for t in token_keys(x))
-                y[k] = offending[x]
-            if not y.any():
-                continue  # toxic for a reason that the labels don't show: teaches nothing
+        elif not y.any():
+            continue  # toxic for a reason that the labels don't show: teaches nothing
+        rate = frequency(int(mark.sum()), len(w))
         x = np.fromiter((vocabulary.setdefault(v, len(vocabulary)) for v in w), dtype=np.int64, count=len(w))
         for at in range(0, len(x), params.segment):
             ids.append(x[at : at + params.segment])
             labels.append(y[at : at + params.segment])
+            marks.append(mark[at : at + params.segment])
+            share.append(rate)
     flat, y = np.concatenate(ids), np.concatenate(labels)
     lengths = np.array([len(x) for x in ids], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -259,34 +303,55 @@ def fit(texts: list[str], toxic: list[bool], params: CrfParams = CrfParams()) ->
     seen_pairs = np.bincount((2 * y[after - 1] + y[after]).astype(int), minlength=4).reshape(2, 2).astype(float)
     w, start, move = np.zeros(params.dimensions), np.zeros(2), np.zeros((2, 2))
     gw, gs, gm = np.full(params.dimensions, 1e-3), np.full(2, 1e-3), np.full((2, 2), 1e-3)
+    rates = np.repeat(np.array(share), lengths, axis=0) * np.concatenate(marks)[:, None]
+    often, go = np.zeros(2), np.full(2, 1e-3)
     n = math.sqrt(len(y))
     for _ in range(params.rounds):
-        p, pairs, first = marginals(w[table].sum(axis=1)[flat], lengths, start, move, with_pairs=True)
+        p, pairs, first = marginals(w[table].sum(axis=1)[flat] + rates @ often, lengths, start, move, with_pairs=True)
         by_word = np.bincount(flat, weights=y - p, minlength=len(table))
         g = np.bincount(table.ravel(), weights=np.repeat(by_word, FEATURES), minlength=params.dimensions) / n - params.ridge * w
+        do = (y - p) @ rates / n
         ds, dm = (seen_first - first) / n, (seen_pairs - pairs) / n
         gw += g * g
+        go += do * do
         gs += ds * ds
         gm += dm * dm
         w += params.step * g / np.sqrt(gw)
+        often += params.step * do / np.sqrt(go)
         start += params.step * ds / np.sqrt(gs)
         move += params.step * dm / np.sqrt(gm)
-    return Crf(w, start, move, params)
+    return Crf(w, start, move, params, frozenset(keys), often)
+
+
+def even_share(counts: list[int], total: int) -> int:
+    """The largest number a group at which groups of these sizes give at most ``total``, one at least."""
+    left = total
+    for k, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - k)
+        if n > share:
+            return max(1, share)
+        left -= n
+    return max(1, *counts) if counts else 1
 
 
-def train(docs: DataFrame, labels: DataFrame, params: CrfParams = CrfParams(), doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Crf:
-    """Fit on at most ``sample_docs`` labelled documents of each class.
+def train(docs: DataFrame, labels: DataFrame, params: CrfParams = CrfParams(), doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", lang: str = "lang") -> Crf:
+    """Fit on at most ``sample_docs`` labelled documents of each class, evenly over languages.
 
     A document labelled twice counts as toxic if any label says so; labels without
     document, null labels and null texts teach nothing. Without both classes the model
-    finds nothing toxic.
+    finds nothing toxic. A table without the column ``lang`` is one language.
     """
-    # Labels are sampled before the join: the join's small side has a fixed bound.
-    once = labels.select(F.col(doc_id).cast("long").alias("__pw_id"), (F.col(toxic).cast("int") > 0).alias("__pw_toxic")).where("__pw_id is not null and __pw_toxic is not null").groupBy("__pw_id").agg(F.max("__pw_toxic").alias("__pw_toxic"))
-    few = bounded_sample(once.withColumn("__pw_class", F.col("__pw_toxic").cast("string")), "__pw_class", ["__pw_id"], params.sample_docs)
-    rows = docs.select(F.col(doc_id).cast("long").alias("__pw_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(few), "__pw_id").select("__pw_id", "text", "__pw_toxic").collect()
-    rows = sorted({(r["__pw_id"], r["text"], r["__pw_toxic"]) for r in rows})
-    return fit([r[1] for r in rows], [r[2] for r in rows], params)
+    of = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    known = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("__pw_id"), of.alias("__pw_lang"))
+    once = labels.select(F.col(doc_id).cast("long").alias("__pw_id"), (F.col(toxic).cast("int") > 0).alias("__pw_toxic")).where("__pw_id is not null and __pw_toxic is not null").join(known, "__pw_id").groupBy("__pw_id").agg(F.max("__pw_toxic").alias("__pw_toxic"), F.min("__pw_lang").alias("__pw_lang"))
+    once = once.withColumn("__pw_class", F.concat_ws("|", F.col("__pw_toxic").cast("string"), F.coalesce("__pw_lang", F.lit(""))))
+    groups = once.groupBy("__pw_toxic", "__pw_class").count().orderBy(F.desc("count"), "__pw_class").limit(4096).collect()
+    # Labels are sampled before texts are joined: the join's small side has a fixed bound.
+    parts = [bounded_sample(once.where(F.col("__pw_toxic") == F.lit(flag)), "__pw_class", ["__pw_id"], even_share([r["count"] for r in groups if r["__pw_toxic"] == flag], params.sample_docs)) for flag in (False, True)]
+    few = parts[0].unionByName(parts[1]).select("__pw_id", "__pw_toxic", "__pw_lang")
+    rows = docs.select(F.col(doc_id).cast("long").alias("__pw_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(few), "__pw_id").select("__pw_id", "text", "__pw_toxic", "__pw_lang").collect()
+    rows = sorted({(r["__pw_id"], r["text"], r["__pw_toxic"], r["__pw_lang"] or "") for r in rows})
+    return fit([r[1] for r in rows], [r[2] for r in rows], params, [r[3] for r in rows])
 
 
 def score_documents(docs: DataFrame, model: Crf, doc_id: str = "doc_id", text: str = "text", toxic_only: bool = False) -> DataFrame:

@@ -88,6 +88,37 @@ def test_copies_of_another_label_keep_their_weight():
     assert tx.copy_weights(text, np.array([True, False, False])).tolist() == [1, 0.5, 0.5]
 
 
+def two_languages(n, seed):
+    """In the second, smaller language bad words are marked by a stem that clean texts hold once at times."""
+    rng = random.Random(seed)
+    one, two = sentence(random.Random(7), 300).split(), sentence(random.Random(8), 300, "ö").split()
+    rows = []
+    for k in range(n):
+        toxic, small = k % 5 == 0, k % 4 == 0
+        words = [rng.choice(two if small else one) for _ in range(rng.choice([60, 200]))]
+        stem = lambda: "grumbo" + rng.choice(two) if small else rng.choice(BAD)
+        for _ in range(max(3, len(words) // 20) if toxic else int(small and rng.random() < 0.1)):
+            words.insert(rng.randrange(len(words)), stem())
+        rows.append((k, " ".join(words), int(toxic), "bb" if small else "aa"))
+    return rows
+
+
+def test_recall_of_each_language(spark):
+    docs = spark.createDataFrame(two_languages(700, 1), "doc_id long, text string, toxic int, lang string")
+    model = tx.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), tx.CrfParams())
+    test = two_languages(400, 2)
+    found = [s[0] >= 0.5 for s in model.score([t for _, t, _, _ in test])]
+    for name in ("aa", "bb"):
+        own = [(f, y) for f, (_, _, y, lang) in zip(found, test) if lang == name]
+        assert sum(f for f, y in own if y) >= 0.9 * sum(y for _, y in own)
+        assert sum(f for f, y in own if not y) <= 0.05 * sum(1 - y for _, y in own)
+
+
+def test_even_share():
+    for counts, total, want in (([5, 100, 100], 65, 30), ([5, 6], 100, 6), ([], 10, 1), ([9, 9, 9], 2, 1), ([10], 10, 10)):
+        assert tx.even_share(counts, total) == want
+
+
 def test_edges(spark, edge_docs, empty_docs, edge_rows):
     rows = corpus(150)
     docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(None, "x"), (3, None)], "doc_id long, text string")
