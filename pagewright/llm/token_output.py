@@ -1,7 +1,8 @@
 """Operator 4, token ids as Re-Pair grammars in binary shards.
 
 Texts are encoded with a public vocabulary and collected into shards. In each shard the
-most frequent pairs of neighbouring ids are replaced by nonterminals, round after round.
+most frequent pairs of neighbouring ids are replaced by nonterminals, round after round,
+until no pair occurs twice.
 A shard stores its rules, how many ids each rule expands to, and the final symbols;
 expansion lengths find any id range without decoding what comes before it.
 """
@@ -28,70 +29,68 @@ class TokenOutputParams:
     pattern: str = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     #: Ids that close a shard.
     shard_tokens: int = 1 << 20
-    #: Re-Pair: most rounds, pairs replaced in one, and how often a pair must occur.
-    rounds: int = 12
-    pairs_a_round: int = 1024
-    least_count: int = 8
+    #: Re-Pair: how often a pair must occur. Two is the whole grammar.
+    least_count: int = 2
 
 
 def repair(ids: np.ndarray, doc_starts: np.ndarray, base: int, params: TokenOutputParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, document starts among them, rules as (left, right), expansion lengths).
 
-    Pairs never span documents. Within a round the most frequent pairs go first and
-    overlapping occurrences are taken from the left.
+    Pairs never span documents. Every round replaces all pairs that occur often enough;
+    where two overlap the more frequent one goes, so at least the most frequent pair is
+    replaced wherever it stands. It ends when no pair is left that qualifies.
     """
-    symbols, starts = ids.astype(np.uint32), doc_starts.astype(np.int64)
-    rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.int64)
-    for _ in range(params.rounds):
-        if len(symbols) < 2:
-            break
-        top = base + len(rules)
-        kind, shift = (np.uint32, 16) if top < 0xFFFF else (np.uint64, 32)  # narrow keys sort twice as fast
-        key = symbols.astype(kind)
-        key = (key[:-1] << kind(shift)) | key[1:]
-        never = kind(np.iinfo(kind).max)
-        inner = starts[(starts > 0) & (starts < len(symbols))] - 1
-        key[inner] = never
-        ordered = np.sort(key)
-        ordered = ordered[: np.searchsorted(ordered, never)]
-        if not len(ordered):
-            break
-        first = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+    symbols, starts = ids.astype(np.int64), doc_starts.astype(np.int64)
+    rules, lengths = [np.empty((0, 2), np.int64)], np.ones(base, np.int64)
+    closed = np.zeros(len(symbols), dtype=bool)  # nothing follows in the document
+    closed[starts[(starts > 0) & (starts <= len(symbols))] - 1] = True
+    closed[-1:] = True
+    live = np.ones(len(symbols), dtype=bool)  # a pair once too rare never becomes more frequent
+    while True:
+        at = np.flatnonzero(live & ~closed)
+        key = (symbols[at] << 32) | symbols[at + 1]
+        # In a run of one symbol every second pair overlaps the one before.
+        k = np.arange(len(at))
+        fresh = np.ones(len(at), dtype=bool)
+        fresh[1:] = (np.diff(at) != 1) | (key[1:] != key[:-1])
+        apart = (k - np.maximum.accumulate(np.where(fresh, k, 0))) % 2 == 0
+        at, key = at[apart], key[apart]
+        order = np.argsort(key)
+        ordered = key[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(key) else np.empty(0, np.int64)
         count = np.diff(first, append=len(ordered))
-        often = np.flatnonzero(count >= params.least_count)
-        if len(often) > params.pairs_a_round:
-            often = often[np.argsort(-count[often], kind="stable")[: params.pairs_a_round]]
-        if not len(often):
+        if not (count >= params.least_count).any():
             break
-        chosen = np.sort(ordered[first[often]])
-        left, right = (chosen >> kind(shift)).astype(np.int64), (chosen & kind((1 << shift) - 1)).astype(np.int64)
-        # A pair is found by two small numbers: which left symbol, which right symbol.
-        lefts, li = np.unique(left, return_inverse=True)
-        rights, ri = np.unique(right, return_inverse=True)
-        wide = len(rights) + 1
-        row, column = np.zeros(top, dtype=np.int32), np.full(top, len(rights), dtype=np.int32)
-        row[lefts], column[rights] = (np.arange(len(lefts)) + 1) * wide, np.arange(len(rights))
-        pair = np.full((len(lefts) + 1) * wide, -1, dtype=np.int16)
-        pair[(li + 1) * wide + ri] = np.arange(len(chosen))
-        which = pair[row[symbols[:-1]] + column[symbols[1:]]]
-        which[inner] = -1
-        at = np.flatnonzero(which >= 0)
-        run = np.concatenate([[True], np.diff(at) != 1])
-        since = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        at = at[since % 2 == 0]
-        which = which[at].astype(np.int64)
-        used = np.flatnonzero(np.bincount(which, minlength=len(chosen)))
-        name = np.zeros(len(chosen), dtype=np.uint32)
-        name[used] = top + np.arange(len(used))
-        rules = np.concatenate([rules, np.stack([left[used], right[used]], axis=1).astype(np.uint32)])
-        whole = np.concatenate([np.ones(base, np.int64), lengths])
-        lengths = np.concatenate([lengths, whole[left[used]] + whole[right[used]]])
+        which = np.empty(len(at), dtype=np.int64)
+        which[order] = np.repeat(np.arange(len(first)), count)
+        many = count[which] >= params.least_count
+        live[at[~many]] = False
+        at, which = at[many], which[many]
+        rank = np.empty(len(first), dtype=np.int64)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(first))
+        r, touch = rank[which], np.diff(at) == 1
+        wins = np.ones(len(at), dtype=bool)
+        wins[1:] &= ~(touch & (r[1:] > r[:-1]))
+        wins[:-1] &= ~(touch & (r[:-1] > r[1:]))
+        won = np.bincount(which[wins], minlength=len(first))
+        good = (won >= params.least_count) & (2 * won >= count)  # the others wait for their neighbours
+        wins &= good[which]
+        at, which = at[wins], which[wins]
+        used = np.flatnonzero(good)
+        name = np.zeros(len(first), dtype=np.int64)
+        name[used] = len(lengths) + np.arange(len(used))
+        pair = np.stack([ordered[first[used]] >> 32, ordered[first[used]] & 0xFFFFFFFF], axis=1)
+        rules.append(pair)
+        lengths = np.concatenate([lengths, lengths[pair].sum(axis=1)])
+        symbols[at] = name[which]
+        closed[at] = closed[at + 1]
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
-        symbols[at] = name[which]
-        symbols = symbols[keep]
+        symbols, closed, live = symbols[keep], closed[keep], live[keep]
         starts = starts - np.searchsorted(at + 1, starts, side="left")
-    return symbols, starts, rules, lengths
+    return symbols.astype(np.uint32), starts, np.concatenate(rules).astype(np.uint32), lengths[base:]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:

@@ -80,6 +80,24 @@ def test_repair_round_trip(ranks):
             assert len(symbols) < 0.6 * len(ids)
 
 
+def test_repair_leaves_no_pair_twice():
+    import numpy as np
+
+    rng = random.Random(6)
+    copied = [rng.randrange(50_000) for _ in range(20_000)]
+    for docs in ([copied] * 19, [[rng.randrange(9) for _ in range(rng.randrange(60))] for _ in range(200)], [[1, 1, 1], [2, 2, 2, 2, 2]]):
+        ids, cuts = np.array([x for d in docs for x in d], dtype=np.uint32), np.cumsum([0, *map(len, docs)])
+        symbols, starts, rules, _ = to.repair(ids, cuts, 50_257, to.TokenOutputParams())
+        assert to.expand(symbols, rules, 50_257).tolist() == ids.tolist()
+        seen = {}
+        for a, b in zip(starts, starts[1:]):
+            for k in range(a, b - 1):
+                seen.setdefault((int(symbols[k]), int(symbols[k + 1])), []).append(k)
+        assert all(v[-1] - v[0] < 2 for v in seen.values())
+        if docs[0] is copied:
+            assert len(symbols) == 19
+
+
 def test_shards_give_every_range(spark, ranks):
     rng = random.Random(4)
     rows = [(k, sentence(rng, rng.randrange(0, 90)) * 3) for k in range(60)] + [(None, "x y"), (3, None), (3, None)]
