@@ -42,6 +42,58 @@ def top_k_join(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("query", "embedding")
 
 
+def top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_id", block: int = 2048) -> DataFrame:
+    """``top_k_join`` for as many queries as there are vectors: (query_id, key, rank, similarity).
+
+    Both sides are packed into blocks by hash, every pair of blocks is one matrix product,
+    and only its k best a query go on. Products merely find candidates; their cosines are
+    summed in order as ``cosine`` does, so ties fall to the smallest key. Vectors without
+    length are nobody's neighbour and have none. Ids are longs.
+    """
+
+    def packed(df: DataFrame, name: str, vector: str, side: str) -> DataFrame:
+        some = df.where(F.col(name).isNotNull() & F.col(vector).isNotNull())
+        n = max(1, -(-some.count() // block))
+        row = F.struct(F.col(name).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        return some.groupBy(F.pmod(F.xxhash64(name), F.lit(n)).alias("__block")).agg(F.collect_list(row).alias(side)).select(side)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def matrix(cell):
+            ids, v = cell.values.field("id").to_numpy(zero_copy_only=False), np.array(cell.values.field("v").to_pylist(), dtype=np.float64)
+            square = np.zeros(len(v))
+            for j in range(v.shape[1]):
+                square += v[:, j] * v[:, j]
+            some = square > 0
+            order = np.flatnonzero(some)[np.argsort(ids[some], kind="stable")]
+            return ids[order], v[order], np.sqrt(square[order])
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                (qi, q, qn), (vi, v, vn) = matrix(batch.column(0)[at]), matrix(batch.column(1)[at])
+                if not len(qi) or not len(vi):
+                    continue
+                score = (q @ v.T) / qn[:, None] / vn
+                last = np.partition(score, -min(k, len(vi)), axis=1)[:, -min(k, len(vi))]
+                a, b = np.nonzero(score >= last[:, None] - 1e-9)
+                dot = np.zeros(len(a))
+                for j in range(q.shape[1]):
+                    dot += v[b, j] * q[a, j]
+                exact = dot / (vn[b] * qn[a])
+                order = np.lexsort((b, -exact, a))
+                a, b, exact = a[order], b[order], exact[order]
+                keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+                yield pa.RecordBatch.from_arrays([pa.array(qi[a[keep]], pa.int64()), pa.array(vi[b[keep]], pa.int64()), pa.array(exact[keep], pa.float64())], names=["query_id", key, "similarity"])
+
+    # One side is spread over the tasks; spreading the pairs would shuffle every block many times.
+    spread = packed(queries, "query_id", "query", "q").repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    best = spread.crossJoin(packed(vectors, key, "embedding", "v")).mapInArrow(run, f"query_id long, {key} long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def keyword_filter(results: DataFrame, query: str) -> DataFrame:
     """Results that pass the query's keywords; see ``keywords.matches``."""
     return results.where(K.matches(K.tokens(F.lit(query)), K.tokens(F.col("text"))))

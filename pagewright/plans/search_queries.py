@@ -55,6 +55,15 @@ def topk_many_queries(spark, sf_dir):
     return V.top_k_join(q, v.select("chunk_id", "embedding"), 5).select("query_id", "chunk_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+@query("""SELECT query_id, chunk_id, rank, similarity FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS INTEGER) AS rank
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) q, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e, LATERAL (SELECT list_cosine_similarity(e.v, q.v) AS s)) WHERE rank <= 5""")
+def topk_every_query(spark, sf_dir):
+    """Like topk_many_queries, with every vector as a query."""
+    v = _vectors(spark, sf_dir)
+    q = v.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    return V.top_k_blocks(q, v.select("chunk_id", "embedding"), 5).select("query_id", "chunk_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 def tok(x: str) -> str:
     return f"list_distinct(regexp_extract_all(lower(strip_accents({x})), '[a-z0-9]{{4,}}'))"
 

@@ -126,3 +126,22 @@ def test_job_fold(spark):
     assert (a.status, a.created_at, a.started_at, a.completed_at, a.error_message, a.file_hash) == ("uploaded", 1, 2, 6, "boom", "h")
     assert got["c"].status == "processing" and J.next_queued(jobs).first().job_id == "b"
     assert [r.job_id for r in J.list_page(jobs, 2, 1).collect()] == ["b", "c"] and J.count(jobs) == 3 and J.get(jobs, "zz").count() == 0
+
+
+def test_top_k_blocks_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    some = [[float(rng.randint(-3, 3)) for _ in range(6)] for _ in range(90)]
+    rows = [(k, v) for k, v in enumerate([*some, *some[:20], [0.0] * 6])]
+
+    def cos(a, b):
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+        return dot(b, a) / (math.sqrt(dot(b, b)) * math.sqrt(dot(a, a)))
+
+    whole = [r for r in rows if any(r[1])]
+    want = {(q, n + 1): c for q, x in whole for n, (_, c) in enumerate(sorted((-cos(x, y), c) for c, y in whole)[:4])}
+    v = spark.createDataFrame([*rows, (500, None)], "chunk_id long, embedding array<float>")
+    q = v.selectExpr("chunk_id AS query_id", "embedding AS query")
+    got = {(r.query_id, r.rank): r.chunk_id for r in V.top_k_blocks(q, v, 4, block=16).collect()}
+    assert got == want
