@@ -11,17 +11,20 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+import tiktoken
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import in_slices
+from ._common import in_slices, type_of
 
 NONE = 1 << 31
 
@@ -120,11 +123,48 @@ class _Words(dict):
         return ids
 
 
+class FastCoder:
+    """The tokens of ``Tokenizer`` from a compiled encoder.
+
+    That encoder's splitter overflows its stack on blanks of a million signs and more;
+    texts with such runs go to ``Tokenizer``, which gives the same tokens.
+    """
+
+    LONG_BLANKS = re.compile(r"\s{100000}")
+
+    def __init__(self, ranks: dict[bytes, int], params: BpeParams = BpeParams()):
+        self.ranks, self.params = ranks, params
+        self.fast = tiktoken.Encoding("public", pat_str=params.pattern, mergeable_ranks=ranks, special_tokens={})
+        self.slow: Tokenizer | None = None
+
+    def encode(self, text: str) -> list[int]:
+        if len(text) < 100_000 or not self.LONG_BLANKS.search(text):
+            return self.fast.encode_ordinary(text)
+        self.slow = self.slow or Tokenizer(self.ranks, self.params)
+        return self.slow.encode(text).tolist()
+
+
+def token_count(spark: SparkSession, text: str, params: BpeParams = BpeParams()) -> Column:
+    """Number of tokens of a text column; null texts give null, empty ones 0."""
+    shared = spark.sparkContext.broadcast(load_ranks(params.vocabulary))
+
+    @F.pandas_udf("long")
+    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        coder = FastCoder(shared.value, params)
+        for texts in parts:
+            yield pd.Series([len(coder.encode(t)) if isinstance(t, str) else None for t in texts], dtype="Int64")
+
+    return count(F.col(text).cast("string"))
+
+
 def encode(docs: DataFrame, params: BpeParams = BpeParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, token_ids, n_tokens, round_trip) a row; round_trip tells that decoding gives the text back.
 
-    A null text has null ids and counts, an empty one no ids. Repeated rows are encoded
-    each for itself. Lone surrogates, which UTF-8 cannot hold, become question marks.
+    A null text has null ids and counts, an empty one no ids; a null id stays null. Repeated
+    rows are encoded each for itself. Equal ranks can't occur; of equal pairs in a word the
+    leftmost is merged first. Texts of any length are encoded whole. An empty table gives no
+    row. Only id and text are read, so other columns can't clash; the id keeps its type.
+    Lone surrogates, which UTF-8 cannot hold, become question marks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(params.vocabulary))
 
@@ -137,7 +177,7 @@ def encode(docs: DataFrame, params: BpeParams = BpeParams(), doc_id: str = "doc_
             counts = pa.array([None if x is None else len(x) for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), counts, pa.array(same, pa.bool_())], names=["doc_id", "token_ids", "n_tokens", "round_trip"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens long, round_trip boolean")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {type_of(docs, doc_id)}, token_ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, params: BpeParams = BpeParams(), doc_id: str = "doc_id", token_ids: str = "token_ids") -> DataFrame:
@@ -149,4 +189,4 @@ def decode(encoded: DataFrame, params: BpeParams = BpeParams(), doc_id: str = "d
         for batch in in_slices(batches, 500):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else bpe.decode(x) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(token_ids).cast("array<int>").alias("token_ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col(doc_id).alias("doc_id"), F.col(token_ids).cast("array<int>").alias("token_ids")).mapInArrow(run, f"doc_id {type_of(encoded, doc_id)}, text string")

@@ -9,17 +9,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import cut, type_of
+from .bpe import BpeParams, token_count
+
 
 @dataclass(frozen=True)
 class PackParams:
-    #: Tokens a bin holds, and UTF-8 bytes that count as one token where no length is given.
+    #: Tokens a bin holds, and the vocabulary that counts them where no length is given.
     capacity: int = 2048
-    bytes_per_token: int = 4
+    tokens: BpeParams = BpeParams()
     #: Pieces that one shard should hold: bins never span shards, and a shard is one task.
     shard_pieces: int = 50_000
 
@@ -77,24 +80,21 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return bins, offsets
 
 
-def token_estimate(text: str, params: PackParams) -> Column:
-    """Bytes over ``bytes_per_token``, rounded up; at least 1, so that an empty text keeps a place."""
-    return F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))) / F.lit(params.bytes_per_token))).cast("long")
-
-
 def pack(docs: DataFrame, params: PackParams = PackParams(), doc_id: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
     """(doc_id, piece, start, n_tokens, shard, bin, bin_offset), one row for each piece of a document.
 
-    ``length`` names a column of exact token counts; else bytes estimate them. A document
-    longer than a bin is cut into full bins and a rest, so nothing of it is lost. Null and
-    empty texts, and null or non-positive lengths, count as one token. Equal lengths go
-    by id, then piece; repeated rows are packed each for itself. Rows without id are
-    packed under a null id.
+    Lengths are token counts of the text, or the column ``length`` where one is named. A
+    document longer than a bin is cut into full bins and a rest, so nothing of it is lost.
+    Null and empty texts, and null or non-positive lengths, count as one token. Equal
+    lengths go by id, then piece, null ids last; repeated rows are packed each for itself.
+    An empty table gives no row. Only id and text (or length) are read, so other columns
+    can't clash; the id keeps its type.
 
-    Only ids and lengths are shuffled. The number of shards follows the number of pieces.
+    Texts are counted once, where they are read; only ids and lengths go on, and only they
+    are shuffled. The number of shards follows the number of pieces.
     """
-    size = F.greatest(F.lit(1), F.coalesce(F.col(length).cast("long"), F.lit(1))) if length else token_estimate(text, params)
-    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), size.cast("long").alias("total"))
+    size = F.col(length).cast("long") if length else token_count(docs.sparkSession, text, params.tokens)
+    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), size.alias("total")).withColumn("total", F.greatest(F.lit(1).cast("long"), F.coalesce("total", F.lit(1).cast("long")))))
     cap = params.capacity
     pieces = sized.select("doc_id", "total", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(cap).cast("long"))).alias("piece", "start"))
     pieces = pieces.select("doc_id", "piece", "start", F.least(F.lit(cap).cast("long"), F.col("total") - F.col("start")).alias("n_tokens"))
@@ -108,12 +108,10 @@ def shards_for(sized: DataFrame, params: PackParams) -> int:
 
 def place(pieces: DataFrame, shards: int, params: PackParams) -> DataFrame:
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_pandas().fillna(-(1 << 62)).to_numpy(dtype=np.int64)
-        piece, n = table.column("piece").to_numpy(), table.column("n_tokens").to_numpy()
-        order = np.lexsort((piece, ids, -n))
-        bins, offsets = best_fit(n[order].tolist(), params.capacity)
-        out = table.take(pa.array(order))
+        order = pc.sort_indices(table, sort_keys=[("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        out = table.take(order)
+        bins, offsets = best_fit(out.column("n_tokens").to_pylist(), params.capacity)
         return pa.table({"doc_id": out.column("doc_id"), "piece": out.column("piece"), "start": out.column("start"), "n_tokens": out.column("n_tokens"), "shard": out.column("shard"), "bin": pa.array(bins, pa.int64()), "bin_offset": pa.array(offsets, pa.int64())})
 
     spread = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int").alias("shard")
-    return pieces.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "n_tokens", spread).groupBy("shard").applyInArrow(run, "doc_id long, piece int, start long, n_tokens long, shard int, bin long, bin_offset long")
+    return pieces.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "n_tokens", spread).groupBy("shard").applyInArrow(run, f"doc_id {type_of(pieces, 'doc_id')}, piece int, start long, n_tokens long, shard int, bin long, bin_offset long")

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pagewright.llm import bpe, queries
 from pagewright.llm import packing as pk
 
 
@@ -66,7 +67,8 @@ def test_edges(spark, edge_docs, empty_docs, edge_rows):
     params = pk.PackParams(capacity=1000)
     rows = pk.pack(edge_docs, params).collect()
     check(rows, 1000)
-    want = sum(max(1, -(-len((t or "").encode()) // 4)) for _, t, _ in edge_rows)
+    coder = bpe.Tokenizer(bpe.load_ranks(params.tokens.vocabulary))
+    want = sum(max(1, len(coder.encode(t or ""))) for _, t, _ in edge_rows)
     assert sum(r.n_tokens for r in rows) == want
     assert sum(1 for r in rows if r.doc_id == 2) == 1
     assert pk.pack(empty_docs, params).count() == 0
@@ -79,6 +81,30 @@ def test_null_lengths(spark):
     assert sorted(r.n_tokens for r in pk.pack(docs, length="n").collect()) == [1, 1, 1, 3]
 
 
+def test_bins_hold_real_tokens(spark):
+    """No bin of the registered query is over its capacity when its pieces are encoded again."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    coder = bpe.Tokenizer(bpe.load_ranks(bpe.BpeParams().vocabulary))
+    ids = {r.doc_id: coder.encode(r.text or "") for r in docs.select("doc_id", "text").collect()}
+    rows = queries.op3_packing(spark, "/root/testdata/sf0.01").collect()
+    held, seen = defaultdict(int), defaultdict(int)
+    for r in rows:
+        n = len(ids[r.doc_id][r.start : r.start + r.n_tokens])
+        assert n == r.n_tokens or (n == 0 and r.n_tokens == 1)
+        held[r.shard, r.bin] += r.n_tokens
+        seen[r.doc_id] += n
+    assert max(held.values()) <= 2048 and dict(seen) == {d: len(x) for d, x in ids.items()}
+    assert sum(held.values()) / len(held) > 2000
+
+
+def test_ids_of_other_types(spark):
+    rows = pk.pack(spark.createDataFrame([("b", "one two"), ("a", "one two"), (None, "x y")], "doc_id string, text string")).collect()
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.bin_offset)] == ["a", "b", None]
+    big = [2**53, 2**53 + 1, None]
+    rows = pk.pack(spark.createDataFrame([(k, "one") for k in big], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows} == set(big)
+
+
 @pytest.mark.parametrize("need,want", [(3, (3, 1)), (4, (7, 0)), (8, None)])
 def test_take(need, want):
     tree = pk.CapacityTree(10)

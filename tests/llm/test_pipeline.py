@@ -2,7 +2,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from pagewright.llm import langid, packing, queries, simhash, toxicity
+from pagewright.llm import bpe, langid, packing, queries, simhash, toxicity
 
 from .conftest import SF
 
@@ -30,9 +30,10 @@ def test_run_equals_a_plain_run(spark, sf_dir):
 
     gone = {d for g in brute([(d, t) for d, t, _ in rows]) for d in g[1:]}
     left = {(d, t) for d, t, _ in rows if d not in gone}
+    coder = bpe.Tokenizer(bpe.load_ranks(bpe.BpeParams().vocabulary))
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id for r in got} == {d for d, _ in left} and len(left) > 150
-    sizes = sorted((min(2048, n - at), d) for d, t in left for n in [-(-len(t.encode()) // 4)] for at in range(0, n, 2048))
+    sizes = sorted((min(2048, n - at), d) for d, t in left for n in [max(1, len(coder.encode(t or "")))] for at in range(0, n, 2048))
     assert sorted((r.n_tokens, r.doc_id) for r in got) == sizes
     order = sorted(got, key=lambda r: (-r.n_tokens, r.doc_id, r.piece))
     assert [r.bin for r in order] == packing.best_fit([r.n_tokens for r in order], 2048)[0]
