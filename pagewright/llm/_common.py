@@ -71,17 +71,29 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int, most_bytes: int = 16
             at = until
 
 
+def even_share(counts: list[int], total: int) -> int:
+    """The largest number a group at which groups of these sizes give at most ``total``, one at least."""
+    left = total
+    for k, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - k)
+        if n > share:
+            return max(1, share)
+        left -= n
+    return max(1, *counts) if counts else 1
+
+
 def bounded_sample(df: DataFrame, key: str, order: list[str], per_key: int) -> DataFrame:
-    """At most ``per_key`` rows of each key, chosen by hash and so independent of layout.
+    """At most ``per_key`` rows of each key that differ in ``order``, chosen by hash and so independent of layout.
 
     Counting reads the key column only. The hash threshold keeps about four times what
     is wanted, so that the ranking window never sees the whole table. Only the counts of
     the 4096 most frequent keys are broadcast; rarer keys go to the window whole, so no
-    key is left out.
+    key is left out. ``__pw_rank`` numbers each key's rows from 1. ``__pw_rank`` numbers each key's rows from 1.
     """
     frequent = df.groupBy(F.col(key).alias("__pw_key")).agg(F.count(F.lit(1)).alias("__pw_n")).orderBy(F.desc("__pw_n"), "__pw_key").limit(4096)
     ticket = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
     few = df.withColumn("__pw_ticket", ticket).join(F.broadcast(frequent), F.col(key) == F.col("__pw_key"), "left")
     few = few.where(F.col("__pw_n").isNull() | (F.col("__pw_ticket") <= (4.0 * per_key + 64.0) / F.col("__pw_n")))
+    few = few.dropDuplicates([key, *order])  # copies would fill the sample
     rank = F.row_number().over(Window.partitionBy(key).orderBy("__pw_ticket", *order))
-    return few.withColumn("__pw_rank", rank).where(F.col("__pw_rank") <= per_key).drop("__pw_key", "__pw_n", "__pw_ticket", "__pw_rank")
+    return few.withColumn("__pw_rank", rank).where(F.col("__pw_rank") <= per_key).drop("__pw_key", "__pw_n", "__pw_ticket")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, bounded_sample, in_slices
+from ._common import WORD, bounded_sample, even_share, in_slices, type_of
 
 
 @dataclass(frozen=True)
@@ -323,17 +323,6 @@ def fit(texts: list[str], toxic: list[bool], params: CrfParams = CrfParams(), la
     return Crf(w, start, move, params, frozenset(keys), often)
 
 
-def even_share(counts: list[int], total: int) -> int:
-    """The largest number a group at which groups of these sizes give at most ``total``, one at least."""
-    left = total
-    for k, n in enumerate(sorted(counts)):
-        share = left // (len(counts) - k)
-        if n > share:
-            return max(1, share)
-        left -= n
-    return max(1, *counts) if counts else 1
-
-
 def train(docs: DataFrame, labels: DataFrame, params: CrfParams = CrfParams(), doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", lang: str = "lang") -> Crf:
     """Fit on at most ``sample_docs`` labelled documents of each class, evenly over languages.
 
