@@ -14,13 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import in_slices
-from .bpe import load_ranks
+from ._common import in_slices, type_of
+from .bpe import BpeParams, FastCoder, load_ranks
 
 
 @dataclass(frozen=True)
@@ -48,15 +47,21 @@ def repair(ids: np.ndarray, doc_starts: np.ndarray, base: int, params: TokenOutp
     live = np.ones(len(symbols), dtype=bool)  # a pair once too rare never becomes more frequent
     while True:
         at = np.flatnonzero(live & ~closed)
-        key = (symbols[at] << 32) | symbols[at + 1]
+        bits = len(lengths).bit_length()
+        key = (symbols[at] << bits) | symbols[at + 1]
         # In a run of one symbol every second pair overlaps the one before.
         k = np.arange(len(at))
         fresh = np.ones(len(at), dtype=bool)
         fresh[1:] = (np.diff(at) != 1) | (key[1:] != key[:-1])
         apart = (k - np.maximum.accumulate(np.where(fresh, k, 0))) % 2 == 0
         at, key = at[apart], key[apart]
-        order = np.argsort(key)
-        ordered = key[order]
+        place = len(key).bit_length()
+        if 2 * bits + place < 64:  # the place rides in the low bits: sorting numbers is faster than sorting their order
+            packed = np.sort((key << place) | np.arange(len(key)))
+            order, ordered = packed & ((1 << place) - 1), packed >> place
+        else:
+            order = np.argsort(key)
+            ordered = key[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(key) else np.empty(0, np.int64)
         count = np.diff(first, append=len(ordered))
         if not (count >= params.least_count).any():
@@ -79,7 +84,7 @@ def repair(ids: np.ndarray, doc_starts: np.ndarray, base: int, params: TokenOutp
         used = np.flatnonzero(good)
         name = np.zeros(len(first), dtype=np.int64)
         name[used] = len(lengths) + np.arange(len(used))
-        pair = np.stack([ordered[first[used]] >> 32, ordered[first[used]] & 0xFFFFFFFF], axis=1)
+        pair = np.stack([ordered[first[used]] >> bits, ordered[first[used]] & ((1 << bits) - 1)], axis=1)
         rules.append(pair)
         lengths = np.concatenate([lengths, lengths[pair].sum(axis=1)])
         symbols[at] = name[which]
@@ -112,7 +117,7 @@ class Shard:
     """A stored shard, ready for random access."""
 
     base: int
-    doc_ids: list[int | None]
+    doc_ids: list
     doc_symbols: np.ndarray
     symbols: np.ndarray
     rules: np.ndarray
@@ -140,21 +145,24 @@ def shards(docs: DataFrame, params: TokenOutputParams = TokenOutputParams(), doc
     """One row a shard; see the module. ``doc_symbols`` has one more entry than documents.
 
     Every task shards what it reads: nothing is shuffled, and a task that runs again gives
-    the same shards. Null and empty texts are documents without ids. Repeated rows are
-    stored each for itself. An empty table gives no shard.
+    the same shards. Null and empty texts are documents without ids, null ids stay null.
+    Repeated rows are stored each for itself. An empty table gives no shard. A document is
+    never divided: a long one may fill a shard alone, beyond ``shard_tokens``. Of pairs as
+    frequent as each other the one with the smaller ids is replaced first. Only id and text
+    are read, so other columns can't clash; the id keeps its type.
     """
     ranks = load_ranks(params.vocabulary)
     base = max(ranks.values()) + 1
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     names = ["shard_id", "base", "n_docs", "n_tokens", "doc_ids", "doc_tokens", "doc_symbols", "rules", "rule_lengths", "symbols"]
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), None, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tiktoken.Encoding("public", pat_str=params.pattern, mergeable_ranks=shared.value, special_tokens={})
+        coder = FastCoder(shared.value, BpeParams(params.vocabulary, params.pattern))
         part, made = TaskContext.get().partitionId(), 0
-        ids: list[int | None] = []
+        ids: list = []
         held: list[np.ndarray] = []
-        total = 0
+        total, id_kind = 0, pa.int64()
 
         def close() -> pa.RecordBatch:
             nonlocal ids, held, total, made
@@ -164,11 +172,12 @@ def shards(docs: DataFrame, params: TokenOutputParams = TokenOutputParams(), doc
             row = [f"{part:06d}-{made:06d}", base, len(ids), total, ids, counts, begin, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u4").tobytes()]
             made += 1
             ids, held, total = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([v], k or pa.list_(id_kind)) for v, k in zip(row, kinds)], names=names)
 
         for batch in in_slices(batches, 500):
+            id_kind = batch.column(0).type
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.array(coder.encode_ordinary(t), dtype=np.uint32) if t else np.empty(0, np.uint32)
+                found = np.array(coder.encode(t), dtype=np.uint32) if t else np.empty(0, np.uint32)
                 ids.append(d)
                 held.append(found)
                 total += len(found)
@@ -177,5 +186,5 @@ def shards(docs: DataFrame, params: TokenOutputParams = TokenOutputParams(), doc
         if ids:
             yield close()
 
-    ddl = "shard_id string, base int, n_docs long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, doc_symbols array<long>, rules binary, rule_lengths binary, symbols binary"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, ddl)
+    ddl = f"shard_id string, base int, n_docs long, n_tokens long, doc_ids array<{type_of(docs, doc_id)}>, doc_tokens array<long>, doc_symbols array<long>, rules binary, rule_lengths binary, symbols binary"
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, ddl)

@@ -98,6 +98,68 @@ def test_repair_leaves_no_pair_twice():
             assert len(symbols) == 19
 
 
+def naive_repair(docs, base):
+    """Pair by pair: the most frequent pair, counted without overlaps, is replaced from the left; ties by id."""
+    rules = []
+    while True:
+        seen = {}
+        for d in docs:
+            last = {}
+            for k in range(len(d) - 1):
+                p = (d[k], d[k + 1])
+                if last.get(p) != k - 1 or p[0] != p[1]:
+                    seen[p] = seen.get(p, 0) + 1
+                    last[p] = k
+        best = min(((-n, p) for p, n in seen.items() if n > 1), default=None)
+        if best is None:
+            return docs, rules
+        pair, name, out = best[1], base + len(rules), []
+        rules.append(pair)
+        for d in docs:
+            new, k = [], 0
+            while k < len(d):
+                if k + 1 < len(d) and (d[k], d[k + 1]) == pair:
+                    new.append(name)
+                    k += 2
+                else:
+                    new.append(d[k])
+                    k += 1
+            out.append(new)
+        docs = out
+
+
+def test_repair_against_pair_by_pair():
+    """The most frequent pair goes first, and the grammar is about as small as that of one pair at a time."""
+    import numpy as np
+
+    docs = [[150, 2, 3]] * 90 + [[1, 2, 3]] * 10
+    ids, cuts = np.array([x for d in docs for x in d], dtype=np.uint32), np.cumsum([0, *map(len, docs)])
+    symbols, _, rules, _ = to.repair(ids, cuts, 300, to.TokenOutputParams())
+    want, named = naive_repair(docs, 300)
+    assert rules.tolist()[0] == [2, 3] == list(named[0]) and len(symbols) == sum(map(len, want)) == 100
+    rng = random.Random(8)
+    for _ in range(12):
+        words = [[rng.randrange(30) for _ in range(rng.randrange(1, 7))] for _ in range(40)]
+        docs = [[x for _ in range(rng.randrange(30)) for x in rng.choice(words)] for _ in range(30)]
+        ids, cuts = np.array([x for d in docs for x in d], dtype=np.uint32), np.cumsum([0, *map(len, docs)])
+        symbols, _, rules, _ = to.repair(ids, cuts, 300, to.TokenOutputParams())
+        want, named = naive_repair(docs, 300)
+        ours, theirs = len(symbols) + 2 * len(rules), sum(map(len, want)) + 2 * len(named)
+        assert ours <= 1.1 * theirs
+
+
+def test_a_million_blanks(ranks):
+    text = " " * 1_100_000 + "x"
+    ids = bpe.FastCoder(ranks).encode(text)
+    assert bpe.Tokenizer(ranks).decode(ids) == text
+    assert bpe.FastCoder(ranks).encode("one  two\n\n three") == bpe.Tokenizer(ranks).encode("one  two\n\n three").tolist()
+
+
+def test_shard_ids_of_other_types(spark):
+    rows = to.shards(spark.createDataFrame([("k1", "a b"), (None, "c")], "doc_id string, text string").coalesce(1)).collect()
+    assert [x for r in rows for x in r.doc_ids] == ["k1", None]
+
+
 def test_shards_give_every_range(spark, ranks):
     rng = random.Random(4)
     rows = [(k, sentence(rng, rng.randrange(0, 90)) * 3) for k in range(60)] + [(None, "x y"), (3, None), (3, None)]
