@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -43,30 +44,29 @@ def test_shift_resistance():
     rng = random.Random(3)
     text = sentence(rng, 3000)
     a, b = (fp.fingerprint(c) for c in fp.chunk_many([text.encode(), ("new start " + text).encode()], P))
-    assert sum(w for d, w in a.items() if d in b) / sum(a.values()) > 0.9
+    assert weight(set(a) & set(b)) / weight(a) > 0.9
+
+
+def weight(digests):
+    return sum(d & 2047 for d in digests)
 
 
 def brute(rows, p):
-    prints = {}
-    for d, t in rows:
-        if d is not None and t:
-            f = fp.fingerprint(fp.chunk_many([t.encode()], p)[0])
-            prints[(d, tuple(sorted(f.items())))] = f
+    """Multisets of chunks, every class against every other."""
     classes = {}
-    for (d, sig), f in prints.items():
-        classes.setdefault(sig, []).append(d)
+    for d, t in set(rows):
+        if d is not None and t:
+            classes.setdefault(tuple(sorted(fp.chunk_many([t.encode()], p)[0])), set()).add(d)
     out = set()
-    for sig, ids in classes.items():
+    for a, ids in classes.items():
+        total, links = sum(map(len, a)), []
+        for b, other in classes.items():
+            shared = sum(len(c) * n for c, n in (Counter(a) & Counter(b)).items())
+            if a != b and shared >= p.containment * total:
+                links.append((-shared, min(other), len(other)))
+        best = min(links, default=(None, None, 0))
         for d in ids:
-            if d != min(ids):
-                out.add((d, min(ids), sum(w for _, w in sig)))
-    for a, ia in classes.items():
-        for b, ib in classes.items():
-            if a != b:
-                fb = dict(b)
-                shared = sum(min(w, fb.get(d, 0)) for d, w in a)
-                if shared >= p.containment * sum(w for _, w in a):
-                    out.add((min(ia), min(ib), shared))
+            out.add((d, min(ids), len(ids), total, sum(n for _, _, n in links), best[1], best[0] and -best[0]))
     return out
 
 
@@ -86,16 +86,34 @@ def test_containment_equals_brute_force(spark):
             words = sentence(rng, 60).split() + passage.split() + sentence(rng, 10).split()
         rows.append((k, " ".join(words)))
     rows += [(200, rows[0][1]), (201, rows[0][1]), (0, rows[0][1])]
-    got = {(r.doc_id, r.container_id, r.shared_bytes) for r in fp.containment(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute(rows, P)
-    assert len(got) > 50
+    rows += [(300 + k, ("%d " % k) * 90 + passage) for k in range(40)]  # copies with an edit each
+    rows += [(400 + k, "same words again " * 300 + str(k)) for k in range(3)]  # a chunk that repeats
+    got = {(r.doc_id, r.class_id, r.class_size, r.weight, r.n_links, r.container_id, r.shared_bytes) for r in fp.containment(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows, P)
+    assert got == want
+    assert len(got) > 120 and sum(r[4] for r in want) > 1000 and any(r[4] == 0 for r in want)
+
+
+def test_registered_table_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {(r.doc_id, r.class_id, r.class_size, r.weight, r.n_links, r.container_id, r.shared_bytes) for r in fp.containment(docs).collect()}
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()], P)
+
+
+def test_ids_of_other_types(spark):
+    t = sentence(random.Random(9), 200)
+    rows = fp.containment(spark.createDataFrame([("b", t), ("a", t), (None, t), ("c", t + " more")], "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in rows} >= {("a", "a", 1), ("b", "a", 1)}
 
 
-def test_edges(spark, edge_docs, empty_docs):
+def test_edges(spark, edge_docs, empty_docs, edge_rows):
     rows = fp.containment(edge_docs).collect()
-    assert {(r.doc_id, r.container_id) for r in rows} == {(5, 4)}
-    assert all(r.containment == pytest.approx(1.0) for r in rows)
+    assert sorted(r.doc_id for r in rows) == sorted(d for d, _ in {(d, t) for d, t, _ in edge_rows if d is not None and t})
+    assert {(r.doc_id, r.class_id, r.class_size) for r in rows if r.class_size > 1} == {(4, 4, 2), (5, 4, 2)}
+    assert all(r.n_links == 0 and r.container_id is None and r.containment is None for r in rows)
     assert fp.containment(empty_docs).count() == 0
+    with pytest.raises(ValueError):
+        fp.containment(empty_docs, fp.ChunkParams(most=4096))
 
 
 def test_gear_window():
