@@ -15,7 +15,7 @@ as packed arrays, so a shuffle row holds many of them.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, cut, in_slices, text_hash
+from ._common import WORD, cut, in_slices, text_hash, type_of
 
 BITS = 64
 #: A probe record, 24 bytes: the key's highest bit marks a code in its own cell. The node's
@@ -108,8 +108,8 @@ def codes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             node = node_of(a[:, 0].view("<u8"), a[:, 1].view("<u8"), a[:, 2])
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 2].astype(np.int32)), pa.array(node)], names=["doc_id", "th", "lo", "hi", "n", "node"])
 
-    narrow = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(text).alias("th"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, th long, lo long, hi long, n int, node long")
+    narrow = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), text_hash(text).alias("th"), F.col(text).cast("string").alias("text"))
+    return narrow.mapInArrow(run, f"doc_id {type_of(docs, doc_id)}, th long, lo long, hi long, n int, node long")
 
 
 # --- the plan: partitions and thresholds ----------------------------------------------------------
@@ -218,6 +218,9 @@ class Plan:
     cost: float
     records: float
     candidates: float
+    #: Keys of cells too full for one task, and into how many parts each is cut.
+    hot_keys: tuple[int, ...] = ()
+    hot_parts: tuple[int, ...] = ()
 
 
 def allocate(hists: list[np.ndarray], parts: list[list[int]], n: float, params: SimHashParams) -> Plan:
@@ -246,12 +249,40 @@ def allocate(hists: list[np.ndarray], parts: list[list[int]], n: float, params:
 
 
 def make_plan(uniq: DataFrame, params: SimHashParams = SimHashParams()) -> Plan:
-    """The cheapest of 5 to 13 partitions, judged on all codes."""
+    """The cheapest number of partitions, judged on all codes: from 5, or fewer below a radius of 4, to radius + 1.
+
+    A partition has at most 20 bits, so 4 are the fewest. The histograms also tell which
+    cells are too full for one task.
+    """
     corr = correlation(uniq)
-    layouts = {m: group_bits(corr, m) for m in range(5, params.probe_radius + 2)}
+    layouts = {m: group_bits(corr, m) for m in range(min(5, max(4, params.probe_radius + 1)), max(4, params.probe_radius + 1) + 1)}
     hists = histograms(uniq, layouts)
-    n = float(hists[5, 0].sum())
-    return min((allocate([hists[m, k] for k in range(m)], parts, n, params) for m, parts in layouts.items() if m <= params.probe_radius + 1), key=lambda p: p.cost)
+    n = float(hists[min(layouts), 0].sum())
+    best = min((allocate([hists[m, k] for k in range(m)], parts, n, params) for m, parts in layouts.items()), key=lambda p: p.cost)
+    return with_hot_cells(best, [hists[len(best.parts), k] for k in range(len(best.parts))], params)
+
+
+def masks_of(width: int, threshold: int) -> list[int]:
+    """All patterns of at most ``threshold`` bits."""
+    return [0, *(sum(1 << b for b in c) for d in range(1, threshold + 1) for c in combinations(range(width), d))]
+
+
+def with_hot_cells(plan: Plan, hists: list[np.ndarray], params: SimHashParams) -> Plan:
+    """The plan, knowing the cells that hold more than two buckets' records, and their records in parts."""
+    keys, parts, more = [], [], 0.0
+    for k, (part, t, hist) in enumerate(zip(plan.parts, plan.thresholds, hists)):
+        if t < 0:
+            continue
+        v = np.arange(len(hist))
+        held = hist.copy()
+        for mask in masks_of(len(part), t)[1:]:
+            w = v ^ mask
+            held += np.where(v > w, hist[w], 0)  # the smaller value probes
+        for at in np.flatnonzero(held > 2 * params.bucket_records):
+            keys.append((k << 20) | int(at))
+            parts.append(int(-(-held[at] // params.bucket_records)))
+            more += held[at] * (parts[-1] - 2)
+    return replace(plan, records=plan.records + more, hot_keys=tuple(keys), hot_parts=tuple(parts))
 
 
 # --- probing and verification -----------------------------------------------------------------------
@@ -264,8 +295,7 @@ def probe_records(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, plan: Plan) ->
         if t < 0:
             continue
         v = values(lo, part)
-        masks = [0, *(sum(1 << b for b in c) for d in range(1, t + 1) for c in combinations(range(len(part)), d))]
-        for mask in masks:
+        for mask in masks_of(len(part), t):
             w = v ^ mask
             at = slice(None) if mask == 0 else np.flatnonzero(w > v)
             r = np.empty(len(v) if mask == 0 else len(at), dtype=RECORD)
@@ -301,7 +331,54 @@ def min_labels(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
         label = new
 
 
-def link(records: np.ndarray, params: SimHashParams, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def in_blocks(a: np.ndarray, b: np.ndarray, params: SimHashParams, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a and b that are alike, a bounded block at a time."""
+    wide = max(1, min(len(b), 1 << 15))
+    tall = max(1, block // wide)
+    for x in range(0, len(a), tall):
+        for y in range(0, len(b), wide):
+            i, j = alike(a[x : x + tall], b[y : y + wide], params)
+            yield i + x, j + y
+
+
+def cell_pairs(r: np.ndarray, own: int, params: SimHashParams, large: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Alike pairs that connect one cell's records as all alike pairs with one of the first ``own`` do.
+
+    In a large cell, all that is alike to a pivot forms a star and isn't compared with
+    each other again; by the triangle inequality only records within two radii of the
+    pivot can be alike to a member of the star. So a group of near copies costs about
+    its size and not its square. Where stars are small all pairs are compared.
+    """
+    todo, misses = np.arange(len(r)), 0
+    while len(todo) > large and misses < 4:
+        p = todo[:1]
+        near = np.bitwise_count(r["lo"][todo] ^ r["lo"][p[0]])
+        _, j = alike(r[p], r[todo], params)
+        inside = np.zeros(len(todo), dtype=bool)
+        inside[j] = True
+        inside[0] = True
+        yield np.full(len(j), p[0]), todo[j]
+        if 16 * len(j) < len(todo):  # too small a star: the pivot alone is done
+            misses += 1
+            todo = todo[1:]
+            continue
+        star, away = todo[inside], near[inside]
+        for d in range(2 * params.probe_radius + 1):
+            rest = todo[~inside & (near == d)]
+            reach = star[away >= d - params.probe_radius]
+            if len(rest) and len(reach):
+                for i, k in in_blocks(r[rest], r[reach], params):
+                    yield rest[i], reach[k]
+        todo = todo[~inside]
+    first = todo[todo < own]
+    for x in range(0, len(first), 4096):
+        some = first[x : x + 4096]
+        later = todo[int(np.searchsorted(todo, some[0])) :]
+        for i, k in in_blocks(r[some], r[later], params):
+            yield some[i], later[k]
+
+
+def link(records: np.ndarray, params: SimHashParams, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """Star edges that join what is alike within one bucket, all its keys together."""
     cell, mine = records["key"] & ~OWN, records["key"] >= OWN
     order = np.lexsort((~mine, cell))
@@ -314,29 +391,46 @@ def link(records: np.ndarray, params: SimHashParams, block: int = 1 << 20) -> tu
         own = int(mine[s:e].sum())
         if not own or e - s < 2:
             continue
-        # Chunked by both sides, so that a hot key needs no more memory than another.
-        wide = max(1, min(e - s, 1 << 15))
-        tall = max(1, block // wide)
-        for x in range(s, s + own, tall):
-            x2 = min(x + tall, s + own)
-            for y in range(x, e, wide):
-                y2 = min(y + wide, e)
-                i, j = alike(records[x:x2], records[y:y2], params)
-                i, j = place[i + x], place[j + y]
-                differ = i != j
-                if differ.any():
-                    pairs_a.append(i[differ])
-                    pairs_b.append(j[differ])
-                    held += int(differ.sum())
-                if held > 4 * block:
-                    label = min_labels(np.concatenate(pairs_a), np.concatenate(pairs_b), len(node))
-                    at = np.flatnonzero(label != np.arange(len(node)))
-                    pairs_a, pairs_b, held = [at], [label[at]], len(at)
+        for i, j in cell_pairs(records[s:e], own, params):
+            i, j = place[i + s], place[j + s]
+            differ = i != j
+            if differ.any():
+                pairs_a.append(i[differ])
+                pairs_b.append(j[differ])
+                held += int(differ.sum())
+            if held > most:
+                label = min_labels(np.concatenate(pairs_a), np.concatenate(pairs_b), len(node))
+                at = np.flatnonzero(label != np.arange(len(node)))
+                pairs_a, pairs_b, held = [at], [label[at]], len(at)
     label = min_labels(np.concatenate(pairs_a), np.concatenate(pairs_b), len(node))
     at = np.flatnonzero(label != np.arange(len(node)))
     return node[at], node[label[at]]
 
 
+def spread(r: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """(records, salts): a hot cell's records go, by part, to every pair of parts that theirs is in."""
+    salt = np.zeros(len(r), dtype=np.uint64)
+    if not plan.hot_keys:
+        return r, salt
+    keys, count = np.array(plan.hot_keys, dtype=np.int64), np.array(plan.hot_parts, dtype=np.int64)
+    order = np.argsort(keys)
+    keys, count = keys[order], count[order]
+    own = (r["key"] & ~OWN).astype(np.int64)
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    hot = np.flatnonzero(keys[at] == own)
+    if not len(hot):
+        return r, salt
+    parts = count[at[hot]]
+    mine = (node_of(r["lo"][hot], r["hi"][hot], r["n"][hot]).view("<u8") % parts.astype(np.uint64)).astype(np.int64)
+    copies = np.repeat(np.arange(len(hot)), parts - 1)
+    other = np.arange(len(copies)) - np.repeat(np.cumsum(parts - 1) - (parts - 1), parts - 1)
+    other += other >= mine[copies]
+    low, high = np.minimum(mine[copies], other), np.maximum(mine[copies], other)
+    keep = np.ones(len(r), dtype=bool)
+    keep[hot] = False
+    return np.concatenate([r[keep], r[hot[copies]]]), np.concatenate([salt[keep], (low * parts[copies] + high + 1).astype(np.uint64)])
+
+
 def edges(uniq: DataFrame, plan: Plan, params: SimHashParams) -> DataFrame:
     """Star edges (a, b) with the components of the predicate's graph."""
     buckets = max(1, round(plan.records / params.bucket_records))
@@ -344,8 +438,8 @@ def edges(uniq: DataFrame, plan: Plan, params: SimHashParams) -> DataFrame:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 20_000):
             lo, hi, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            r = probe_records(lo.view("<u8"), hi.view("<u8"), n, plan)
-            mixed = ((r["key"] & ~OWN).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            r, salt = spread(probe_records(lo.view("<u8"), hi.view("<u8"), n, plan), plan)
+            mixed = ((((r["key"] & ~OWN).astype(np.uint64) << np.uint64(32)) ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             bucket = (mixed % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             r, bucket = r[order], bucket[order]
@@ -387,7 +481,10 @@ def groups(docs: DataFrame, params: SimHashParams = SimHashParams(), doc_id: str
     """(doc_id, th, kept_doc_id, kept_th, group_size) for each row that has a near copy, the kept one too.
 
     Rows with equal id and text count as one document; rows that share an id but not the
-    text are documents of their own. The kept one is the group's smallest (doc_id, th).
+    text are documents of their own. The kept one is the group's smallest (doc_id, th), so
+    ties can't occur. Null ids and texts without a word have no copies. Texts are read
+    whole, however long; an empty table gives no row. Only id and text are read, so other
+    columns can't clash; the id keeps its type.
     """
     every = cut(codes(docs, doc_id, text).distinct())
     uniq = cut(every.select("node", "lo", "hi", "n").distinct())
@@ -398,7 +495,11 @@ def groups(docs: DataFrame, params: SimHashParams = SimHashParams(), doc_id: str
 
 
 def near_copies(docs: DataFrame, params: SimHashParams = SimHashParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, kept_doc_id, group_size): each document that goes, and the copy of it that stays."""
+    """(doc_id, kept_doc_id, group_size): each document that goes, and the copy of it that stays.
+
+    As for ``groups``: null ids, texts without a word and empty tables give no row, rows
+    repeated with equal id and text count once, and other columns aren't read.
+    """
     found = groups(docs, params, doc_id, text)
     return found.where((F.col("doc_id") != F.col("kept_doc_id")) | (F.col("th") != F.col("kept_th"))).select("doc_id", "kept_doc_id", "group_size")
 
@@ -411,7 +512,7 @@ def drop_near_copies(docs: DataFrame, params: SimHashParams = SimHashParams(), d
     """
     found = groups(docs, params, doc_id, text).select(F.col("doc_id").alias("__pw_id"), F.col("th").alias("__pw_th"), (F.col("doc_id") != F.col("kept_doc_id")).alias("__pw_a"), (F.col("th") != F.col("kept_th")).alias("__pw_b"))
     gone = found.where("__pw_a or __pw_b").select("__pw_id", "__pw_th")
-    keyed = docs.withColumn("__pw_d", F.col(doc_id).cast("long")).withColumn("__pw_t", text_hash(text))
+    keyed = docs.withColumn("__pw_d", F.col(doc_id)).withColumn("__pw_t", text_hash(text))
     left = keyed.join(gone, (keyed["__pw_d"] == gone["__pw_id"]) & (keyed["__pw_t"] == gone["__pw_th"]), "left_anti")
     # The join leaves rows placed and sorted by these two columns, which the window asks for.
     nth = F.row_number().over(Window.partitionBy("__pw_d", "__pw_t").orderBy("__pw_d"))

@@ -130,12 +130,60 @@ def test_small_blocks_change_nothing():
     rng = np.random.default_rng(3)
     lo = rng.integers(0, 2**63, 60, dtype=np.int64).astype("<u8")
     lo = np.concatenate([lo, lo ^ np.uint64(5), lo ^ np.uint64(1 << 40)])
-    hi, n = np.zeros(len(lo), "<u8"), np.full(len(lo), 50, np.int32)
-    parts = sh.group_bits(np.eye(64), 6)
-    plan = sh.allocate([np.bincount(sh.values(lo, p), minlength=1 << len(p)).astype(float) for p in parts], parts, len(lo), P)
-    r = sh.probe_records(lo, hi, n, plan)
-    small, large = sh.link(r, P, block=4), sh.link(r, P)
-    assert all((x == y).all() for x, y in zip(small, large))
+    r = np.zeros(len(lo), dtype=sh.RECORD)
+    r["lo"], r["n"] = lo, 50
+    pairs = lambda block: sorted((int(i), int(j)) for a, b in sh.in_blocks(r, r, P, block) for i, j in zip(a, b))
+    assert pairs(4) == pairs(1 << 20) and len(pairs(4)) >= 3 * len(lo)
+
+
+def components_of(pairs, size):
+    a = np.concatenate([np.empty(0, np.int64), *(i for i, _ in pairs)])
+    b = np.concatenate([np.empty(0, np.int64), *(j for _, j in pairs)])
+    return sh.min_labels(a, b, size)
+
+
+@pytest.mark.parametrize("bits,share", [(3, 1.0), (6, 0.5), (9, 0.9), (14, 0.7)])
+def test_stars_connect_what_all_pairs_connect(bits, share):
+    """Groups around a few centres, tight and loose, among strangers; both sides differ, and lengths too."""
+    rng = np.random.default_rng(bits)
+    n = 1500
+    r = np.zeros(n, dtype=sh.RECORD)
+    centres = rng.integers(0, 2**63, 3, dtype=np.int64).astype("<u8")
+    r["lo"] = np.where(rng.random(n) < share, centres[rng.integers(0, 3, n)], rng.integers(0, 2**63, n, dtype=np.int64).astype("<u8"))
+    for k in range(n):
+        for b in rng.permutation(64)[: rng.integers(0, bits + 1)]:
+            r["lo"][k] ^= np.uint64(1) << np.uint64(b)
+        for b in rng.permutation(64)[: rng.integers(0, bits + 1)]:
+            r["hi"][k] ^= np.uint64(1) << np.uint64(b)
+    r["n"] = rng.integers(80, 120, n)
+    stars, plain = list(sh.cell_pairs(r, n, P, large=20)), list(sh.cell_pairs(r, n, P, large=n))
+    assert (components_of(stars, n) == components_of(plain, n)).all()
+    assert all((np.bitwise_count(r["lo"][i] ^ r["lo"][j]) <= P.probe_radius).all() for i, j in stars)
+
+
+def test_hot_cells_are_cut(spark):
+    """A plan with cells far over a bucket finds the same groups; no part's load grows with the cell."""
+    rows = corpus(5)
+    every = sh.codes(spark.createDataFrame(rows, "doc_id long, text string"))
+    uniq = every.select("node", "lo", "hi", "n").distinct()
+    tight = sh.SimHashParams(bucket_records=20)
+    plan = sh.make_plan(uniq, tight)
+    assert plan.hot_keys and min(plan.hot_parts) >= 3
+    got = {(r.node, r.label) for r in sh.components(sh.edges(uniq, plan, tight)).collect()}
+    assert got == {(r.node, r.label) for r in sh.components(sh.edges(uniq, sh.make_plan(uniq, P), P)).collect()} and got
+    code = [(r.lo, r.hi, r.n) for r in uniq.collect()]
+    lo, hi, n = (np.array(x) for x in zip(*code))
+    r, salt = sh.spread(sh.probe_records(lo.view("<u8"), hi.view("<u8"), n.astype(np.int32), plan), plan)
+    _, load = np.unique(np.stack([(r["key"] & ~sh.OWN).astype(np.uint64), salt]), axis=1, return_counts=True)
+    assert load.max() < 2 * 3 * 20
+
+
+@pytest.mark.parametrize("radius", [0, 2, 3, 4, 7])
+def test_small_radii(spark, radius):
+    rows = corpus(2)[:80]
+    params = sh.SimHashParams(probe_radius=radius)
+    uniq = sh.codes(spark.createDataFrame(rows, "doc_id long, text string")).select("node", "lo", "hi", "n").distinct()
+    assert sum(sh.make_plan(uniq, params).thresholds) >= radius - len(sh.make_plan(uniq, params).parts) + 1
 
 
 def test_components_of_a_long_chain(spark):
