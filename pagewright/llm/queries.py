@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licenses": licenses.oracle_sql()}
+    return {"op5_licenses": licenses.oracle_sql(), "op9_embeddings": embedding_dedup.ORACLE_SQL}
