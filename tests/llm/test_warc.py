@@ -41,7 +41,28 @@ def test_bundle_is_a_plain_zstandard_stream_with_a_footer(spark):
     assert magic == warc.SKIPPABLE and size == 8 * len(frames) + 9
     whole = b"".join(zstd.ZstdDecompressor().decompress(data[a : a + c], max_output_size=d) for a, c, d in frames)
     streamed = zstd.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(data)
-    assert streamed == whole and whole.count(b"WARC/1.1\r\n") == 9
+    assert streamed == whole and whole.count(b"WARC-Type: resource\r\n") == 9 and whole.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+
+
+def test_lookup_over_a_table_of_bundles(spark):
+    rng = random.Random(2)
+    rows = [(f"k{k}", f"http://x.example/{k}", sentence(rng, rng.choice([1, 300]))) for k in range(60)] + [("k1", "http://x.example/1", None)] * 2
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)
+    bundled = warc.bundles(df, P)
+    ids = [warc.record_id(*rows[k]) for k in (0, 7, 33, 60)]
+    wanted = spark.createDataFrame([(i,) for i in [*ids, ids[0], "urn:uuid:none", None]], "record_id string")
+    got = warc.lookup(bundled, wanted).collect()
+    assert sorted(r.page_id for r in got) == ["k0", "k1", "k1", "k33", "k7"]
+    for r in got:
+        assert r.record_id.encode() in bytes(r.record) and b"WARC-Block-Digest: sha1:" in bytes(r.record)
+        html = next(h for p, u, h in rows if warc.record_id(p, u, h) == r.record_id)
+        assert bytes(r.record).endswith(b"\r\n\r\n" + (html or "").encode() + b"\r\n\r\n")
+
+
+def test_dates(spark):
+    df = spark.createDataFrame([(1, "u", "h", "2020-02-03T04:05:06Z"), (2, "u", "h", None)], "page_id long, url string, html string, seen string")
+    data = b"".join(r.record for r in warc.lookup(warc.bundles(df, P, date="seen"), warc.index(warc.bundles(df, P))).collect())
+    assert data.count(b"WARC-Date: 2020-02-03T04:05:06Z") == 1 and data.count(b"WARC-Date: " + P.date.encode()) == 1
 
 
 def test_edges(spark):
