@@ -6,53 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.registry import table
 from . import bpe, embedding_dedup, fingerprints, langid, licenses, packing, simhash, token_output, toxicity, warc
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.containment(_table(spark, sf_dir, "documents"))
+    return fingerprints.containment(table(spark, sf_dir, "documents"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.shards(_table(spark, sf_dir, "documents"))
+    return token_output.shards(table(spark, sf_dir, "documents"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return toxicity.score_documents(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")), toxic_only=True)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), toxic_only=True)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.bundles(_table(spark, sf_dir, "pages"))
+    return warc.bundles(table(spark, sf_dir, "pages"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_copies(_table(spark, sf_dir, "documents"))
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_copies(_table(spark, sf_dir, "embeddings"))
+    return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(_table(spark, sf_dir, "documents"))
+    return bpe.encode(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -34,8 +34,10 @@ class CrfParams:
     rounds: int = 40
     step: float = 0.5
     ridge: float = 1e-6
-    #: Training sequences are cut to so many tokens; scoring always sees whole texts.
+    #: Training texts are divided into sequences of so many tokens, none left out; scoring sees whole texts.
     segment: int = 256
+    #: Sampled clean documents without offending words that train the field, for each toxic document.
+    plain_per_toxic: float = 1.0
     #: A binding counts when its log p-value lies this far below -log(number of candidates).
     certainty: float = 3.0
     threshold: float = 0.5
@@ -271,7 +273,7 @@ def fit(texts: list[str], toxic: list[bool], params: CrfParams = CrfParams(), la
     marks: list[np.ndarray] = []  # offending words, of clean documents too
     share: list[tuple[float, float]] = []  # of each sequence's document
     offending: dict[str, bool] = {}
-    spare = int(flags.sum())  # as many clean documents as toxic ones train the field, and all that hold a key
+    spare = int(params.plain_per_toxic * flags.sum())  # clean documents that hold a key all train the field
     for w, bad in zip(words, flags):
         mark = np.zeros(len(w))
         for k, x in enumerate(w):
@@ -328,17 +330,18 @@ def train(docs: DataFrame, labels: DataFrame, params: CrfParams = CrfParams(), d
 
     A document labelled twice counts as toxic if any label says so; labels without
     document, null labels and null texts teach nothing. Without both classes the model
-    finds nothing toxic. A table without the column ``lang`` is one language.
+    finds nothing toxic. A table without the column ``lang`` is one language. Of documents
+    that share an id each text teaches once.
     """
     of = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
-    known = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("__pw_id"), of.alias("__pw_lang"))
-    once = labels.select(F.col(doc_id).cast("long").alias("__pw_id"), (F.col(toxic).cast("int") > 0).alias("__pw_toxic")).where("__pw_id is not null and __pw_toxic is not null").join(known, "__pw_id").groupBy("__pw_id").agg(F.max("__pw_toxic").alias("__pw_toxic"), F.min("__pw_lang").alias("__pw_lang"))
+    known = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("__pw_id"), of.alias("__pw_lang"))
+    once = labels.select(F.col(doc_id).alias("__pw_id"), (F.col(toxic).cast("int") > 0).alias("__pw_toxic")).where("__pw_id is not null and __pw_toxic is not null").join(known, "__pw_id").groupBy("__pw_id").agg(F.max("__pw_toxic").alias("__pw_toxic"), F.min("__pw_lang").alias("__pw_lang"))
     once = once.withColumn("__pw_class", F.concat_ws("|", F.col("__pw_toxic").cast("string"), F.coalesce("__pw_lang", F.lit(""))))
     groups = once.groupBy("__pw_toxic", "__pw_class").count().orderBy(F.desc("count"), "__pw_class").limit(4096).collect()
     # Labels are sampled before texts are joined: the join's small side has a fixed bound.
     parts = [bounded_sample(once.where(F.col("__pw_toxic") == F.lit(flag)), "__pw_class", ["__pw_id"], even_share([r["count"] for r in groups if r["__pw_toxic"] == flag], params.sample_docs)) for flag in (False, True)]
     few = parts[0].unionByName(parts[1]).select("__pw_id", "__pw_toxic", "__pw_lang")
-    rows = docs.select(F.col(doc_id).cast("long").alias("__pw_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(few), "__pw_id").select("__pw_id", "text", "__pw_toxic", "__pw_lang").collect()
+    rows = docs.select(F.col(doc_id).alias("__pw_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(few), "__pw_id").select("__pw_id", "text", "__pw_toxic", "__pw_lang").collect()
     rows = sorted({(r["__pw_id"], r["text"], r["__pw_toxic"], r["__pw_lang"] or "") for r in rows})
     return fit([r[1] for r in rows], [r[2] for r in rows], params, [r[3] for r in rows])
 
@@ -346,8 +349,10 @@ def train(docs: DataFrame, labels: DataFrame, params: CrfParams = CrfParams(), d
 def score_documents(docs: DataFrame, model: Crf, doc_id: str = "doc_id", text: str = "text", toxic_only: bool = False) -> DataFrame:
     """(doc_id, score, expected_tokens, toxic, spans) a row.
 
-    Null and empty texts score 0. Repeated rows are scored alike, each in its own row.
-    Only id and text are read, so other columns cannot clash.
+    Null and empty texts score 0; null ids keep their row. Repeated rows are scored alike,
+    each in its own row. A score of exactly the threshold is toxic. Texts are scored whole,
+    however long. An empty table gives no row. Only id and text are read, so other columns
+    cannot clash; the id keeps its type. ``toxic_only`` leaves the others out of the result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
@@ -362,7 +367,7 @@ def score_documents(docs: DataFrame, model: Crf, doc_id: str = "doc_id", text: s
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()), pa.array(bad, pa.bool_()), pa.array(where, kind)], names=["doc_id", "score", "expected_tokens", "toxic", "spans"])
             yield out.filter(pa.array(bad, pa.bool_())) if toxic_only else out
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, expected_tokens double, toxic boolean, spans array<struct<start:int,end:int,p:double>>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {type_of(docs, doc_id)}, score double, expected_tokens double, toxic boolean, spans array<struct<start:int,end:int,p:double>>")
 
 
 def drop_toxic(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
