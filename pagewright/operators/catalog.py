@@ -26,8 +26,9 @@ def create(catalog: DataFrame, uploads: DataFrame) -> DataFrame:
 def duplicates(rows: DataFrame, content: str, key: str) -> DataFrame:
     """(key, file_hash, first_key) of each row whose content was seen under a smaller key."""
     hashed = rows.select(F.col(key), F.sha2(F.col(content).cast("binary"), 256).alias("file_hash"))
-    first = F.min(key).over(Window.partitionBy("file_hash"))
-    return hashed.withColumn(f"first_{key}", first).where(F.col(key) != F.col(f"first_{key}"))
+    # Aggregated before it is shuffled, so that a popular content is no task's burden.
+    first = hashed.groupBy("file_hash").agg(F.min(key).alias(f"first_{key}"), F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("file_hash").alias("__h"), f"first_{key}")
+    return hashed.join(first, F.col("file_hash").eqNullSafe(F.col("__h"))).where(F.col(key) != F.col(f"first_{key}")).select(key, "file_hash", f"first_{key}")
 
 
 def find_by_hash(catalog: DataFrame, file_hash: str) -> DataFrame:
@@ -39,7 +40,16 @@ def get(catalog: DataFrame, document_id) -> DataFrame:
 
 
 def _update(catalog: DataFrame, changes: DataFrame, new: dict[str, Column]) -> DataFrame:
-    """Merge changes by document_id; columns of ``changes`` are reached as ``c_<name>``."""
+    """Merge changes by document_id; columns of ``changes`` are reached as ``c_<name>``.
+
+    Of several changes to one document the last by ``seq`` counts, where there is such a
+    column, else any one of them: a document keeps one row.
+    """
+    if "seq" in changes.columns:
+        nth = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("seq")))
+        changes = changes.withColumn("__n", nth).where("__n = 1").drop("__n", "seq")
+    else:
+        changes = changes.dropDuplicates(["document_id"])
     c = changes.select([F.col(x).alias(f"c_{x}") for x in changes.columns])
     joined = catalog.join(c, catalog["document_id"] == c["c_document_id"], "left")
     hit = F.col("c_document_id").isNotNull()
@@ -95,12 +105,16 @@ def require_ready(catalog: DataFrame | None, document_id) -> None:
         raise NotReady(409, f"document {document_id} is {row.status}")
 
 
-def backfill(catalog: DataFrame, jobs: DataFrame, files: DataFrame, limit: int = 1000) -> DataFrame:
+def backfill(catalog: DataFrame, jobs: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
     """Documents to add for jobs that have none: the file exists and its hash is new.
 
     ``files`` has job_id, file_hash, file_size and pdf_path; one hash gives one document.
+    All open jobs are taken, or the ``limit`` oldest.
     """
-    open_jobs = jobs.where(F.col("document_id").isNull()).orderBy("created_at", "job_id").limit(limit).select("job_id", "filename", "created_at")
+    open_jobs = jobs.where(F.col("document_id").isNull())
+    if limit is not None:
+        open_jobs = open_jobs.orderBy("created_at", "job_id").limit(limit)
+    open_jobs = open_jobs.select("job_id", "filename", "created_at")
     known = catalog.select(F.col("file_hash").alias("__h"))
     found = open_jobs.join(files, "job_id").join(known, F.col("file_hash") == F.col("__h"), "left_anti")
     first = F.row_number().over(Window.partitionBy("file_hash").orderBy("created_at", "job_id"))

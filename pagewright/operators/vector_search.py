@@ -17,6 +17,16 @@ class EmbeddingClient(Protocol):
     def embed_query(self, text: str) -> list[float]: ...
 
 
+class VectorStore(Protocol):
+    """What a store of chunk vectors offers; ``Service`` keeps one in Parquet folders."""
+
+    def upsert(self, chunks: DataFrame) -> int: ...
+
+    def query(self, vector: list[float], k: int, document_id: str | None = None) -> DataFrame: ...
+
+    def delete_document(self, document_id: str) -> None: ...
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays in doubles; null where either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -27,14 +37,31 @@ def top_k(vectors: DataFrame, query: list[float], k: int, document_id=None, min_
     """The k nearest vectors, ties by key; similarity is 1 - distance, held within 0..1.
 
     The scope filter comes before the search and reaches the scan. The similarity bound
-    comes after the limit, so fewer than k rows may remain.
+    comes after the limit, so fewer than k rows may remain. Vectors without length sort
+    last and are dropped after the limit, so each score is computed once.
     """
     rows = vectors if document_id is None else vectors.where(F.col(scope) == F.lit(document_id))
     score = cosine(F.col("embedding"), F.array(*[F.lit(float(v)) for v in query]))
-    best = rows.withColumn("similarity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).where(score.isNotNull()).withColumn("__score", score).orderBy(F.desc("__score"), key).limit(k).drop("__score")
+    best = rows.withColumn("__score", score).orderBy(F.desc("__score"), key).limit(k).where(F.col("__score").isNotNull())
+    best = best.withColumn("similarity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__score")))).drop("__score")
     return best if min_similarity is None else best.where(F.col("similarity") >= min_similarity)
 
 
+def with_rows(best: DataFrame, stored: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """The rows of ``stored`` beside the few rows of a top-k result, read by their keys alone.
+
+    The k keys, bounded by the search, reach the scan as an IN filter. Exploding one array
+    keeps later filters on the stored columns above the join: the optimiser would else move
+    them down to the scan and test the whole table.
+    """
+    rows = best.collect()
+    few = best.sparkSession.createDataFrame(rows, best.schema)
+    wanted = stored.where(F.col(key).isin(*[r[key] for r in rows]) if rows else F.lit(False))
+    others = [c for c in stored.columns if c != key]
+    joined = wanted.join(F.broadcast(few), key).select(*best.columns, F.explode(F.array(F.struct(*others))).alias("__row"))
+    return joined.select(*best.columns, *[F.col(f"__row.{c}").alias(c) for c in others])
+
+
 def top_k_join(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     """The k nearest vectors of each query row (query_id, query): one pass for all queries."""
     pairs = queries.crossJoin(vectors).withColumn("similarity", cosine(F.col("embedding"), F.col("query")))
@@ -129,7 +156,7 @@ def with_embeddings(chunks: DataFrame, client: EmbeddingClient, batch: int = 32,
 
     def run(parts):
         for pdf in parts:
-            texts, found = [t[:limit] for t in pdf["text"].fillna("")], []
+            texts, found = pdf["__sent"].tolist(), []
             for at in range(0, len(texts), batch):
                 got = client.embed_texts(texts[at : at + batch])
                 if len(got) != len(texts[at : at + batch]):
@@ -139,7 +166,8 @@ def with_embeddings(chunks: DataFrame, client: EmbeddingClient, batch: int = 32,
 
     from pyspark.sql import types as T
 
-    return chunks.mapInPandas(run, T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
+    sent = chunks.withColumn("__sent", F.coalesce(F.substring("text", 1, limit), F.lit("")))
+    return sent.mapInPandas(run, T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
 
 def search(vectors: DataFrame, request: SearchRequest, client: EmbeddingClient) -> DataFrame:

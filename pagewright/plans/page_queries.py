@@ -83,6 +83,28 @@ def normalize_bbox(spark, sf_dir):
     return _flat(b.withColumn("area", F.round(G.area(F.col("bbox")), 9)), "doc_id", "pos", "area")
 
 
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, pos, round(x1 * 595, 6) AS x1, round(y1 * 842, 6) AS y1, round(x2 * 595, 6) AS x2, round(y2 * 842, 6) AS y2 FROM blocks")
+def denormalize_bbox(spark, sf_dir):
+    b = _blocks(spark, sf_dir).withColumn("bbox", G.denormalize(F.col("bbox"), F.lit(595.0), F.lit(842.0)))
+    return b.select("doc_id", "pos", *[F.round(f"bbox.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, pos, round(x1, 9) AS x1, round(y1, 9) AS y1, round(least(x2, 1), 9) AS x2, round(y2, 9) AS y2 FROM blocks")
+def bbox_from_array(spark, sf_dir):
+    """Arrays of four numbers to boxes that must lie in the unit square."""
+    four = F.transform(G.to_array(F.col("bbox")), lambda v: F.least(v, F.lit(1.0)))
+    return _flat(_blocks(spark, sf_dir).withColumn("bbox", G.checked(G.from_array(four))), "doc_id", "pos")
+
+
+@query(f"""WITH {LINES_SQL}, br AS (SELECT *, CASE WHEN y1 - lag(y2) OVER (PARTITION BY doc_id, page ORDER BY line_no) > 0.03 THEN 1 ELSE 0 END AS b FROM lns),
+par AS (SELECT *, 1 + sum(b) OVER (PARTITION BY doc_id, page ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS n FROM br)
+SELECT doc_id, 'p1_b' || CAST(n AS INTEGER) AS block_id, string_agg(text, chr(10) ORDER BY line_no) AS text, round(min(x1), 9) AS x1, round(min(y1), 9) AS y1, round(max(x2), 9) AS x2, round(max(y2), 9) AS y2 FROM par GROUP BY doc_id, page, n""")
+def paragraphs_default(spark, sf_dir):
+    """Paragraphs with the engine's own gap."""
+    w = _words(spark, sf_dir)
+    return _flat(layout.paragraphs(layout.lines_of_words(w, _pages(w))), "doc_id", "block_id", "text")
+
+
 OVER = "CASE WHEN least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1) THEN (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) ELSE 0 END"
 
 
@@ -124,17 +146,31 @@ def reading_bands(spark, sf_dir):
     return layout.number_bands(_blocks(spark, sf_dir)).select("doc_id", "pos", "band")
 
 
-@query(f"""WITH {BLOCKS_SQL}, {COLUMNS_SQL},
+ORDER_SQL = f"""{COLUMNS_SQL},
 sd AS (SELECT b.*, CASE WHEN boundary IS NULL THEN 0 WHEN x2 - x1 >= 0.60 THEN 2 WHEN (x1 + x2) / 2 < boundary THEN 0 ELSE 1 END AS side FROM blocks b LEFT JOIN cols USING (doc_id, page)),
 {bands_sql('sd', 'doc_id, page, side')},
 rk AS (SELECT sd.*, row_number() OVER (PARTITION BY sd.doc_id, sd.page ORDER BY sd.side, band, x1, y1, sd.pos) AS rank FROM sd JOIN bands USING (doc_id, page, side, pos)),
 pl AS (SELECT a.*, CASE WHEN side < 2 THEN rank ELSE coalesce((SELECT min(c.rank) FROM rk c WHERE c.doc_id = a.doc_id AND c.page = a.page AND c.side < 2 AND c.y1 >= a.y1), 2147483647) END AS place0 FROM rk a),
-wt AS (SELECT *, CASE WHEN side = 2 THEN max(place0) OVER (PARTITION BY doc_id, page, side ORDER BY y1, pos ROWS UNBOUNDED PRECEDING) ELSE place0 END AS place FROM pl)
-SELECT doc_id, pos, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY place, CASE WHEN side = 2 THEN 0 ELSE 1 END, CASE WHEN side = 2 THEN y1 END, CASE WHEN side = 2 THEN pos ELSE rank END) AS INTEGER) AS reading_pos FROM wt""")
+wt AS (SELECT *, CASE WHEN side = 2 THEN max(place0) OVER (PARTITION BY doc_id, page, side ORDER BY y1, pos ROWS UNBOUNDED PRECEDING) ELSE place0 END AS place FROM pl)"""
+PLACE_SQL = "CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY place, CASE WHEN side = 2 THEN 0 ELSE 1 END, CASE WHEN side = 2 THEN y1 END, CASE WHEN side = 2 THEN pos ELSE rank END) AS INTEGER) AS reading_pos"
+
+
+@query(f"WITH {BLOCKS_SQL}, {ORDER_SQL} SELECT doc_id, pos, {PLACE_SQL} FROM wt")
 def reading_order(spark, sf_dir):
     return layout.reading_order(_blocks(spark, sf_dir)).select("doc_id", "pos", "reading_pos")
 
 
+@query(f"""WITH {BLOCKS_SQL.replace("blocks AS (", "raw AS (")}, t AS (SELECT * FROM raw WHERE pos % 3 = 0),
+x AS (SELECT * FROM raw a WHERE pos % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM t b WHERE a.doc_id = b.doc_id AND a.page = b.page AND (a.x2 - a.x1) * (a.y2 - a.y1) > 0 AND ({OVER}) / ((a.x2 - a.x1) * (a.y2 - a.y1)) > 0.5)),
+blocks AS (SELECT doc_id, page, pos, text, x1, y1, x2, y2 FROM x UNION ALL SELECT doc_id, page, pos + 1099511627776, text, x1, y1, x2, y2 FROM t), {ORDER_SQL}
+SELECT doc_id, text AS block_id, {PLACE_SQL} FROM wt""")
+def merged_blocks(spark, sf_dir):
+    """Text blocks outside tables and the tables, in reading order."""
+    b = _blocks(spark, sf_dir).withColumn("block_id", F.col("text")).withColumn("type", F.when(F.col("pos") % 3 == 0, "table").otherwise("paragraph"))
+    merged = D.merge_tables(b.where("pos % 3 <> 0"), b.where("pos % 3 = 0"))
+    return merged.select("doc_id", "block_id", "reading_pos")
+
+
 @query(f"WITH {BLOCKS_SQL} SELECT doc_id, pos, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY x1, y1, pos) AS INTEGER) AS reading_pos FROM blocks")
 def reading_left_to_right(spark, sf_dir):
     return layout.reading_order(_blocks(spark, sf_dir), order="left-to-right").select("doc_id", "pos", "reading_pos")
@@ -158,17 +194,36 @@ def page_ranges(spark, sf_dir):
     return layout.page_ranges(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_partkey") % 97).alias("page")))
 
 
-COVER_SQL = WORDS_SQL + """, img AS (SELECT l_orderkey AS doc_id, sum(CAST(l_quantity AS DOUBLE) * 10 * 300) / (595.0 * 842.0) AS c FROM lineitem WHERE l_linenumber % 3 = 1 GROUP BY 1),
-txt AS (SELECT doc_id, sum(abs(x1 - x0) * abs(bottom - top)) * 20 / (595.0 * 842.0) AS c FROM words WHERE pos % 2 = 0 GROUP BY 1),
+COVER_SQL = WORDS_SQL + """, img AS (SELECT l_orderkey AS doc_id, sum(CAST(l_quantity AS DOUBLE) * 10 * 300) / (595.0 * 842.0) AS c FROM lineitem GROUP BY 1),
+txt AS (SELECT doc_id, sum(abs(x1 - x0) * abs(bottom - top)) * 20 / (595.0 * 842.0) AS c FROM words GROUP BY 1),
 cov AS (SELECT o.doc_id, coalesce(img.c, 0) AS i, coalesce(txt.c, 0) AS t FROM (SELECT DISTINCT doc_id FROM words) o LEFT JOIN img USING (doc_id) LEFT JOIN txt USING (doc_id))"""
 
 
-@query(f"""WITH {COVER_SQL} SELECT doc_id, round(i, 9) AS image_coverage, round(t, 9) AS text_coverage, CASE WHEN i > 0.3 THEN CASE WHEN t < 0.05 THEN CASE WHEN t > 0 THEN 'hybrid' ELSE 'scan' END WHEN i > 0.8 THEN 'hybrid' ELSE 'digital' END WHEN t > 0.01 THEN 'digital' ELSE 'scan' END AS page_type FROM cov""")
-def page_type(spark, sf_dir):
+_TYPE = "CASE WHEN i > 0.3 THEN CASE WHEN t < 0.05 THEN CASE WHEN t > 0 THEN 'hybrid' ELSE 'scan' END WHEN i > 0.8 THEN 'hybrid' ELSE 'digital' END WHEN t > 0.01 THEN 'digital' ELSE 'scan' END"
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _words(spark, sf_dir)
-    images = table(spark, sf_dir, "lineitem").where("l_linenumber % 3 = 1").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0.0).alias("x0"), (F.col("l_quantity").cast("double") * 10).alias("x1"), F.lit(0.0).alias("top"), F.lit(300.0).alias("bottom"))
-    tall = w.where("pos % 2 = 0").withColumn("bottom", F.col("top") + (F.col("bottom") - F.col("top")) * 20)
-    return classify.classify_pages(_pages(w), tall, images).select("doc_id", F.round("image_coverage", 9).alias("image_coverage"), F.round("text_coverage", 9).alias("text_coverage"), "page_type")
+    images = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0.0).alias("x0"), (F.col("l_quantity").cast("double") * 10).alias("x1"), F.lit(0.0).alias("top"), F.lit(300.0).alias("bottom"))
+    tall = w.withColumn("bottom", F.col("top") + (F.col("bottom") - F.col("top")) * 20)
+    return classify.classify_pages(_pages(w), tall, images)
+
+
+@query(f"WITH {COVER_SQL} SELECT doc_id, round(i, 9) AS image_coverage, round(t, 9) AS text_coverage, {_TYPE} AS page_type FROM cov")
+def page_type(spark, sf_dir):
+    return _classified(spark, sf_dir).select("doc_id", F.round("image_coverage", 9).alias("image_coverage"), F.round("text_coverage", 9).alias("text_coverage"), "page_type")
+
+
+@query(f"WITH {COVER_SQL} SELECT doc_id, 1 AS page, CAST(595 AS DOUBLE) AS width, CAST(842 AS DOUBLE) AS height, {_TYPE} AS page_type, round_even(round(i, 9) * 100, 2) AS image_percent, round_even(round(t, 9) * 100, 2) AS text_percent FROM cov")
+def page_info(spark, sf_dir):
+    rounded = _classified(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("image_coverage", "text_coverage")})
+    return rounded.select("doc_id", classify.page_info().alias("i")).select("doc_id", "i.*")
+
+
+@query(f"WITH {COVER_SQL} SELECT doc_id, CASE WHEN {_TYPE} = 'digital' THEN 'digital' ELSE 'ocr' END AS route FROM cov")
+def page_routing(spark, sf_dir):
+    digital, scanned = classify.route(_classified(spark, sf_dir))
+    return digital.select("doc_id", F.lit("digital").alias("route")).unionByName(scanned.select("doc_id", F.lit("ocr").alias("route")))
 
 
 @query("SELECT conv_id, turn, length(trim(text)) >= 60 AS extractable FROM conversations")
@@ -212,6 +267,37 @@ def table_normalize(spark, sf_dir):
     return _tables(spark, sf_dir).select("k", F.array_join(F.transform(rows, lambda r: F.array_join(r, "|")), "/").alias("cells"))
 
 
+_STRIPPED = "list_transform(rows, lambda r: list_transform(r, lambda c: regexp_replace(coalesce(c, ''), '^\\s+|\\s+$', '', 'g')))"
+
+
+@query(f"WITH {TAB_SQL} SELECT k, array_to_string(list_transform({_STRIPPED}, lambda r: array_to_string(r, '|')), '/') AS cells FROM tab")
+def table_cells(spark, sf_dir):
+    rows = tables.strip_cells(F.col("rows"))
+    return _tables(spark, sf_dir).select("k", F.array_join(F.transform(rows, lambda r: F.array_join(r, "|")), "/").alias("cells"))
+
+
+@query(f"""WITH {TAB_SQL}, j AS (SELECT k, list_filter(list_transform(rows, lambda r: array_to_string(list_filter(r, lambda c: c IS NOT NULL AND c <> ''), ' | ')), lambda l: trim(l) <> '') AS ls FROM tab),
+f AS (SELECT k, len(ls) AS c, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS n FROM j)
+SELECT k, CAST(n AS INTEGER) AS n, text, round(0.1 + n * (0.9 - 0.1) / c, 9) AS y1, round(0.1 + (n + 1) * (0.9 - 0.1) / c, 9) AS y2 FROM f""")
+def overlay_table_rows(spark, sf_dir):
+    """The text layer of table blocks: a line a row."""
+    blocks = _tables(spark, sf_dir).select(F.col("k").alias("doc_id"), F.lit(1).alias("page"), F.lit("p1_t1").alias("block_id"), F.lit("table").alias("type"), F.lit(None).cast("string").alias("text"), F.array(*[F.lit(v) for v in (0.1, 0.1, 0.9, 0.9)]).alias("bbox"), "rows", F.lit(None).cast("array<struct<text:string,bbox:array<double>>>").alias("lines"))
+    return export.overlay_lines(blocks).select(F.col("doc_id").alias("k"), "n", "text", F.round(F.element_at("bbox", 2), 9).alias("y1"), F.round(F.element_at("bbox", 4), 9).alias("y2"))
+
+
+@query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
+l AS (SELECT doc_id, list_filter(list_transform(ls, lambda x, i: {'t': x, 'i': i}), lambda s: s.t <> '' AND s.i % 3 <> 0) AS g FROM d),
+f AS (SELECT doc_id, unnest(g) AS s, generate_subscripts(g, 1) - 1 AS n FROM l)
+SELECT doc_id, CAST(n AS INTEGER) AS n, s.t AS text, round(s.i / 1000, 9) AS y1 FROM f""")
+def overlay_own_lines(spark, sf_dir):
+    """The text layer of blocks that bring their own lines; lines without text or four numbers go."""
+    y = lambda i: (i + 1).cast("double") / 1000
+    box = lambda i: F.when((i + 1) % 3 == 0, F.array(F.lit(0.1))).otherwise(F.array(F.lit(0.1), y(i), F.lit(0.9), y(i) + 0.001))
+    own = F.transform(F.split("text", "\n"), lambda t, i: F.struct(t.alias("text"), box(i).alias("bbox")))
+    blocks = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), F.lit("p1_b1").alias("block_id"), F.lit("paragraph").alias("type"), "text", F.array(*[F.lit(v) for v in (0.1, 0.1, 0.9, 0.9)]).alias("bbox"), F.lit(None).cast("array<array<string>>").alias("rows"), own.alias("lines"))
+    return export.overlay_lines(blocks).select("doc_id", "n", "text", F.round(F.element_at("bbox", 2), 9).alias("y1"))
+
+
 @query(f"WITH {TAB_SQL}, t AS (SELECT k, list_transform(rows, lambda r: list_filter(r, lambda c: c IS NOT NULL)) AS rows FROM tab) SELECT k, len(list_filter(rows, lambda r: abs(len(r) - len(rows[1])) > 1)) = 0 AND len(rows[1]) > 0 AS regular, CAST(len(rows) AS INTEGER) AS n_rows FROM t")
 def table_validate(spark, sf_dir):
     ragged = _tables(spark, sf_dir).withColumn("rows", F.transform("rows", lambda r: F.filter(r, lambda c: c.isNotNull())))

@@ -23,8 +23,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Session setting: into how many partitions a large table is spread after it is read. Unset, as on a cluster
+#: whose files have many row groups, nothing is shuffled; a file of one row group else keeps one core busy.
+SPREAD = "spark.pagewright.spread"
+LARGE = ("documents", "pages", "conversations", "lineitem")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found, parts = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.conf.get(SPREAD, None)
+    return found.repartition(int(parts)) if parts and name in LARGE else found
 
 
 def _load() -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,11 +49,12 @@ def topk_min_similarity(spark, sf_dir):
 
 
 @query("""SELECT query_id, chunk_id, rank, similarity FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS INTEGER) AS rank
-FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 8) q, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e, LATERAL (SELECT list_cosine_similarity(e.v, q.v) AS s)) WHERE rank <= 5""")
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0) q, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e, LATERAL (SELECT list_cosine_similarity(e.v, q.v) AS s)) WHERE rank <= 5""")
 def topk_many_queries(spark, sf_dir):
+    """The stated query set, every id divisible by 20, against all vectors."""
     v = _vectors(spark, sf_dir)
-    q = v.where("chunk_id < 8").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
-    return V.top_k_join(q, v.select("chunk_id", "embedding"), 5).select("query_id", "chunk_id", "rank", F.round("similarity", 6).alias("similarity"))
+    q = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    return V.top_k_blocks(q, v.select("chunk_id", "embedding"), 5).select("query_id", "chunk_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""SELECT query_id, chunk_id, rank, similarity FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS INTEGER) AS rank
@@ -88,10 +90,10 @@ SELECT chunk_id, similarity, toxic FROM hit LEFT JOIN labels ON labels.doc_id =
 def hybrid_search(spark, sf_dir):
     """Top-k by cosine, bound, keywords, then labels: the order decides the result."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    # The limit runs on ids and vectors; texts join its k rows only.
+    # The limit runs on ids and scores; texts are read for its k rows only, and keywords tested on them.
     known = _vectors(spark, sf_dir).join(docs.select("chunk_id"), "chunk_id", "left_semi")
-    best = V.top_k(known, _query_vector(spark, sf_dir, 0), 50, min_similarity=0.1).select("chunk_id", "similarity").join(docs, "chunk_id")
-    found = V.keyword_filter(best, _benchmark_text(spark, sf_dir, 2))
+    best = V.top_k(known, _query_vector(spark, sf_dir, 0), 50, min_similarity=0.1).select("chunk_id", "similarity")
+    found = V.keyword_filter(V.with_rows(best, docs), _benchmark_text(spark, sf_dir, 2))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), "toxic")
     return found.join(labels, "chunk_id", "left").select("chunk_id", F.round("similarity", 6).alias("similarity"), "toxic")
 
@@ -136,10 +138,10 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", files.content_hash(F.col("html")).alias("file_hash"))
 
 
-@query("SELECT page_id FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '%PDF-1.7' ELSE substr(html, 1, 20) END AS c, CASE WHEN page_id % 2 = 0 THEN url || '.PDF' ELSE url END AS p FROM pages) WHERE ends_with(lower(p), '.pdf') AND starts_with(c, '%PDF-')")
+@query("SELECT page_id FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '%PDF-1.7' ELSE html END AS c, CASE WHEN page_id % 2 = 0 THEN url || '.PDF' ELSE url END AS p FROM pages) WHERE ends_with(lower(p), '.pdf') AND starts_with(c, '%PDF-')")
 def upload_validation(spark, sf_dir):
     p = F.col("page_id")
-    content = F.when(p % 3 == 0, F.lit("%PDF-1.7")).otherwise(F.substring("html", 1, 20)).cast("binary")
+    content = F.when(p % 3 == 0, F.lit("%PDF-1.7")).otherwise(F.col("html")).cast("binary")
     return table(spark, sf_dir, "pages").select("page_id", F.when(p % 2 == 0, F.concat("url", F.lit(".PDF"))).otherwise(F.col("url")).alias("path"), content.alias("content")).where(files.is_pdf(F.col("path"), F.col("content"))).select("page_id")
 
 
@@ -153,6 +155,33 @@ def count_by_status(spark, sf_dir):
     return _catalog(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {CATALOG_SQL} SELECT count(*) AS documents, count(*) FILTER (WHERE status = 'processed') AS processed, count(*) FILTER (WHERE status = 'none') AS unknown FROM cat")
+def count_documents(spark, sf_dir):
+    cat = _catalog(spark, sf_dir)
+    return spark.createDataFrame([(C.count(cat), C.count(cat, "processed"), C.count(cat, "none"))], "documents long, processed long, unknown long")
+
+
+@query(f"WITH {CATALOG_SQL} SELECT document_id, filename, status, total_pages FROM cat WHERE document_id = 7")
+def get_document(spark, sf_dir):
+    return C.get(_catalog(spark, sf_dir), 7).select("document_id", "filename", "status", "total_pages")
+
+
+@query("SELECT doc_id AS document_id FROM documents WHERE sha256(text) = (SELECT sha256(text) FROM documents WHERE doc_id = 5)")
+def find_by_hash(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("file_hash"))
+    row = C.get(d, 5).select("file_hash").first()
+    return C.find_by_hash(d, row.file_hash if row else "").select("document_id")
+
+
+@query(f"WITH {CATALOG_SQL} SELECT document_id, CASE WHEN document_id % 6 = 0 THEN '/out/' || document_id || '.pdf' WHEN document_id % 5 = 0 THEN 'old' END AS pdf_path FROM cat")
+def update_pdf_path(spark, sf_dir):
+    """Each change comes twice; the one with the larger seq counts."""
+    d = F.col("document_id")
+    cat = _catalog(spark, sf_dir).withColumn("pdf_path", F.when(d % 5 == 0, F.lit("old")))
+    new = cat.where(d % 6 == 0).select("document_id", F.concat(F.lit("/out/"), d.cast("string"), F.lit(".pdf")).alias("pdf_path"), F.lit(2).alias("seq"))
+    return C.update_pdf_path(cat, new.unionByName(new.withColumn("pdf_path", F.lit("first")).withColumn("seq", F.lit(1)))).select("document_id", "pdf_path")
+
+
 @query("""WITH known AS (SELECT doc_id AS document_id, sha256(text) AS file_hash FROM documents WHERE doc_id % 4 = 0), up AS (SELECT doc_id AS document_id, sha256(text) AS file_hash, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents WHERE doc_id % 4 <> 0)
 SELECT document_id, file_hash, NULL::VARCHAR AS status FROM known UNION ALL SELECT document_id, file_hash, 'pending' FROM up WHERE n = 1 AND file_hash NOT IN (SELECT file_hash FROM known)""")
 def create_documents(spark, sf_dir):
@@ -178,7 +207,7 @@ def save_parsed(spark, sf_dir):
 
 
 @query("""WITH j AS (SELECT doc_id AS job_id, doc_id % 9 AS created_at, sha256(text) AS file_hash FROM documents WHERE doc_id % 3 <> 0),
-o AS (SELECT * FROM j ORDER BY created_at, job_id LIMIT 1000), n AS (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY created_at, job_id) AS r FROM o WHERE file_hash NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0))
+o AS (SELECT * FROM j), n AS (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY created_at, job_id) AS r FROM o WHERE file_hash NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0))
 SELECT job_id, file_hash FROM n WHERE r = 1""")
 def backfill(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.sha2("text", 256).alias("file_hash"))
@@ -226,6 +255,16 @@ def next_queued(spark, sf_dir):
     return J.next_queued(_jobs(spark, sf_dir)).select("job_id", "status", "created_at")
 
 
+@query(f"WITH {JOBS_SQL} SELECT job_id, status, error_message FROM jobs WHERE job_id = 3")
+def get_job(spark, sf_dir):
+    return J.get(_jobs(spark, sf_dir), 3).select("job_id", "status", "error_message")
+
+
+@query(f"WITH {JOBS_SQL} SELECT count(*) AS n FROM jobs")
+def count_jobs(spark, sf_dir):
+    return spark.createDataFrame([(J.count(_jobs(spark, sf_dir)),)], "n long")
+
+
 @query(f"WITH {JOBS_SQL} SELECT job_id, status FROM jobs ORDER BY job_id LIMIT 20 OFFSET 5")
 def list_jobs_page(spark, sf_dir):
     return J.list_page(_jobs(spark, sf_dir), 20, 5).select("job_id", "status")
@@ -241,7 +280,11 @@ def _stream(spark: SparkSession, sf_dir: str, df_of, mode: str) -> DataFrame:
 
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="pagewright-stream-")
     folder = f"{root}/stream-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events")
     source = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events*")
@@ -270,13 +313,13 @@ def transitions_by_hour_stream(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT conv_id, turn, CAST(conv_id % 5 AS VARCHAR) AS d, CAST(turn % 2 AS VARCHAR) AS c, CAST(conv_id % 3 AS INTEGER) AS p FROM conversations)
-SELECT d AS document_id, c AS chunk_id, p AS page, arg_min(turn, conv_id * 1000 + turn) AS turn FROM r WHERE turn < 900 GROUP BY d, c, p""")
+SELECT d AS document_id, c AS chunk_id, p AS page, arg_min(turn, (conv_id, turn)) AS turn FROM r GROUP BY d, c, p""")
 def agent_sources(spark, sf_dir):
-    conv = table(spark, sf_dir, "conversations").where("turn < 900")
+    conv = table(spark, sf_dir, "conversations")
     line = F.to_json(F.struct((F.col("conv_id") % 5).cast("string").alias("document_id"), (F.col("turn") % 2).cast("string").alias("chunk_id"), (F.col("conv_id") % 3).cast("int").alias("page"), F.col("turn").cast("string").alias("text")))
     # A result holds its line, a sentence, and the same line cut short.
     content = F.concat_ws("\n", line, F.lit("no json"), F.substring(line, 1, 20))
-    rows = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("result_no"), content.alias("content"))
+    rows = conv.select(F.struct("conv_id", "turn").alias("result_no"), content.alias("content"))
     return agent_results.sources(rows).select("document_id", "chunk_id", "page", F.col("text").cast("long").alias("turn"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keywords as K
 from ..functions import text as T
-from ..operators import agent_results, chunking
+from ..operators import agent_results, chunking, ocr_parse
 from .registry import query, table
 
 WS = r"[\s\x0b\x1c-\x1f]"
@@ -31,9 +31,7 @@ def tidy(x: str) -> str:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and texts. A table too small to fill the cores is spread over them; a large one is not shuffled."""
-    docs, cores = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 NORMAL = tidy(rep(rep("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]", ""), " +", " "))
@@ -154,6 +152,16 @@ def postprocess_ocr(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.postprocess_ocr(_noisy()).alias("result"))
 
 
+_MIXED_SQL = f"CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 7 = 3 THEN '|' ELSE {NOISY_SQL} END"
+
+
+@query(f"SELECT doc_id, CASE WHEN t = '' THEN t ELSE c END AS text FROM (SELECT doc_id, t, {tidy(short_lines(ocr_fix(ocr_clean('t')), 3))} AS c FROM (SELECT doc_id, {_MIXED_SQL} AS t FROM documents)) WHERE t = '' OR length(c) >= 2")
+def postprocess_blocks(spark, sf_dir):
+    """Blocks without text pass, blocks whose text comes to nothing go."""
+    mixed = F.when(F.col("doc_id") % 4 == 0, "").when(F.col("doc_id") % 7 == 3, "|").otherwise(_noisy())
+    return ocr_parse.postprocess_blocks(_docs(spark, sf_dir).select("doc_id", mixed.alias("text")))
+
+
 @query(f"""WITH d AS (SELECT doc_id, list_transform({lines('text')}, lambda l: {strip('l')}) AS t, {lines('text')} AS ls FROM documents),
 o AS (SELECT doc_id, ls, list_filter(list_distinct(list_concat(t[1:5], t[greatest(len(t) - 4, 1):len(t)])), lambda m: m <> '' AND len(list_filter(t, lambda x: x = m)) >= 3) AS often FROM d)
 SELECT doc_id, CASE WHEN len(ls) < 6 THEN array_to_string(ls, chr(10)) ELSE array_to_string(list_filter(ls, lambda l: NOT list_contains(often, {strip('l')})), chr(10)) END AS result FROM o""")
@@ -183,7 +191,7 @@ def keyword_tokens(spark, sf_dir):
 
 BOILER = ("certid[aã]o de (?:publica[cç][aã]o|remessa) de rela[cç][aã]o", "c[oó]digo da certid[aã]o", "para conferir o original, acesse o site", "este documento [eé] c[oó]pia do original", "assinad[ao] digitalmente", "odanissa etnemlatigid", "otnemucod o rirefnoc")
 _HITS = " + ".join(f"CAST(regexp_matches(t, '(?i){p}') AS INTEGER)" for p in BOILER)
-STAMPED_SQL = "CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN 'Código da CERTIDÃO assinado digitalmente ' || text WHEN 2 THEN 'https://comunicaapi.pje.jus.br/api/v1/certidao ' || text WHEN 3 THEN 'fls. 24 ' || substr(text, 1, 90) ELSE 'Otnemucod o rirefnoc ' || text END"
+STAMPED_SQL = "CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN 'Código da CERTIDÃO assinado digitalmente ' || text WHEN 2 THEN 'https://comunicaapi.pje.jus.br/api/v1/certidao ' || text WHEN 3 THEN 'fls. 24 ' || text ELSE 'Otnemucod o rirefnoc ' || text END"
 
 
 @query(f"SELECT doc_id, contains(lower(t), 'otnemucod o rirefnoc') OR ({_HITS}) >= 2 OR (regexp_matches(t, '(?i)https?://comunicaapi\\.pje\\.jus\\.br/.*/certidao') AND length(t) < 600) OR (starts_with(lower(t), 'fls. ') AND length(t) < 120) AS low_value FROM (SELECT doc_id, {STAMPED_SQL} AS t FROM documents)")
@@ -238,12 +246,12 @@ def table_chunks(spark, sf_dir):
     return rows.select("doc", F.posexplode(parts).alias("k", "text")).select("doc", (F.col("k") + 1).alias("part"), "text")
 
 
-_CALLS = "'<tool_call><function=search_chunks><parameter=query>' || substr(text, 1, 30) || '</parameter><parameter=n_results>5</parameter></function></tool_call>' || text"
+_CALLS = "'<tool_call><function=search_chunks><parameter=query>' || text || '</parameter><parameter=n_results>5</parameter></function></tool_call>' || text"
 
 
 @query(f"SELECT conv_id, turn, 'search_chunks' AS name, trim(regexp_extract({_CALLS}, '(?s)<parameter=query>(.*?)</parameter>', 1)) AS query, {strip(rep(rep(_CALLS, '(?s)<tool_call>.*?</tool_call>', ''), chr(92) + 'n{3,}', chr(10)))} AS answer FROM conversations")
 def tool_calls(spark, sf_dir):
-    text = F.concat(F.lit("<tool_call><function=search_chunks><parameter=query>"), F.substring("text", 1, 30), F.lit("</parameter><parameter=n_results>5</parameter></function></tool_call>"), "text")
+    text = F.concat(F.lit("<tool_call><function=search_chunks><parameter=query>"), "text", F.lit("</parameter><parameter=n_results>5</parameter></function></tool_call>"), "text")
     call = F.element_at(agent_results.parse_tool_calls(F.col("m")), 1)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("m")).withColumn("c", call)
     return rows.select("conv_id", "turn", "c.name", F.get_json_object("c.arguments", "$.query").alias("query"), T.strip_tool_markup(F.col("m")).alias("answer"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -43,3 +45,44 @@ class VersionedTable:
         for n in [*done, last + 1][: -keep]:
             old = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{n:08d}")
             old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+@dataclass(frozen=True)
+class LogTable:
+    """A folder that is only added to: every write is a folder of its own, and nothing is read to write.
+
+    Rows carry ``seq``; what counts now is folded on read. A write that dies leaves a
+    folder without ``_SUCCESS``, which is never read.
+    """
+
+    path: str
+    ddl: str
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/_SUCCESS")
+        found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder) or []
+        done = [s.getPath().getParent().toString() for s in found]
+        return spark.read.schema(self.ddl).parquet(*done) if done else spark.createDataFrame([], self.ddl)
+
+    def append(self, df: DataFrame) -> None:
+        names = df.sparkSession.createDataFrame([], self.ddl).columns
+        df.select(*names).write.parquet(f"{self.path}/{next_seq():020d}")
+
+
+_last = 0
+
+
+def next_seq() -> int:
+    """A number that grows with time, and within this process with every call."""
+    global _last
+    _last = max(_last + 1, time.time_ns())
+    return _last
+
+
+def latest(log: DataFrame, key: str) -> DataFrame:
+    """One row a key: each column's value of the last row, by ``seq``, in which it isn't null.
+
+    One aggregation with partial results a task; columns that aren't asked for aren't read.
+    """
+    others = [c for c in log.columns if c not in (key, "seq")]
+    return log.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in others])

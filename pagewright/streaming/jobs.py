@@ -11,10 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.jobs import TERMINAL
-from ..schemas import DOCUMENT
 from ..sources.files import accept_uploads
 
-STATE = "status string, created_at timestamp, started_at timestamp, completed_at timestamp, error_message string, file_hash string, last_ts timestamp, last_seq long"
+STATE = "status string, created_at timestamp, started_at timestamp, completed_at timestamp, error_message string, error_ts timestamp, error_seq long, file_hash string, hash_ts timestamp, hash_seq long, last_ts timestamp, last_seq long"
 OUTPUT = "job_id string, status string, created_at timestamp, started_at timestamp, completed_at timestamp, error_message string, file_hash string"
 
 
@@ -25,23 +24,26 @@ def _none(value):
 def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Fold a job's new transitions into its state; the same rules as the batch aggregation.
 
-    Transitions may arrive out of order: the latest by (ts, seq) decides the status.
+    Transitions may arrive out of order, in any batch: the latest by (ts, seq) decides the
+    status, and the latest that has one the error message and the file hash. Of equal
+    (ts, seq) the one that came last counts.
     """
-    status, created, started, completed, error, digest, ts, seq = map(_none, state.get) if state.exists else (None,) * 8
-    for row in pd.concat(list(parts)).sort_values(["ts", "seq"]).itertuples(index=False):
+    status, created, started, completed, error, error_ts, error_seq, digest, hash_ts, hash_seq, ts, seq = map(_none, state.get) if state.exists else (None,) * 12
+    for row in pd.concat(list(parts)).sort_values(["ts", "seq"], kind="stable").itertuples(index=False):
+        at = (row.ts, row.seq)
         created = row.ts if created is None else min(created, row.ts)
         if row.status == "processing":
             started = row.ts if started is None else min(started, row.ts)
         if row.status in TERMINAL:
             completed = row.ts if completed is None else max(completed, row.ts)
-        if ts is None or (row.ts, row.seq) >= (ts, seq):
-            status, ts, seq = row.status, row.ts, row.seq
-            error = _none(row.error_message) or error
-            digest = _none(row.file_hash) or digest
-        else:
-            error = error or _none(row.error_message)
-            digest = digest or _none(row.file_hash)
-    state.update((status, created, started, completed, error, digest, ts, int(seq)))
+        if ts is None or at >= (ts, seq):
+            status, (ts, seq) = row.status, at
+        if _none(row.error_message) and (error_ts is None or at >= (error_ts, error_seq)):
+            error, (error_ts, error_seq) = row.error_message, at
+        if _none(row.file_hash) is not None and (hash_ts is None or at >= (hash_ts, hash_seq)):
+            digest, (hash_ts, hash_seq) = row.file_hash, at
+    whole = lambda n: None if n is None else int(n)
+    state.update((status, created, started, completed, error, error_ts, whole(error_seq), digest, hash_ts, whole(hash_seq), ts, whole(seq)))
     # Typed columns, so that groups without a time or message don't change the batch's types.
     times = {n: pd.Series([v], dtype="datetime64[ns]") for n, v in (("created_at", created), ("started_at", started), ("completed_at", completed))}
     yield pd.DataFrame({"job_id": [key[0]], "status": [status], **times, "error_message": pd.Series([error], dtype=object), "file_hash": pd.Series([digest], dtype=object)})
@@ -62,24 +64,28 @@ def start_worker(spark: SparkSession, folder: str, out: str, checkpoint: str, pr
 
     ``process`` takes (doc_id, source_file, content, file_hash) and returns documents. With
     no interval the query handles what is there and ends. A batch that is repeated after a
-    failure overwrites its own output, so nothing is doubled.
+    failure overwrites its own output, so nothing is doubled. The hashes taken so far lie
+    in a narrow table of their own, ``<out>_hashes``: no batch reads documents again.
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
+    taken = f"{out.rstrip('/')}_hashes"
 
     def handle(batch: DataFrame, number: int) -> None:
         fresh = accept_uploads(batch)
-        seen = _known_hashes(spark, out)
+        seen = _known_hashes(spark, taken, number)
         if seen is not None:
             fresh = fresh.join(seen, "file_hash", "left_anti")
         named = fresh.select(F.col("file_hash").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("source_file"), "content", "file_hash")
         process(named).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        named.select("file_hash").write.mode("overwrite").parquet(f"{taken}/batch={number}")
 
     writer = files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def _known_hashes(spark: SparkSession, out: str) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+def _known_hashes(spark: SparkSession, taken: str, number: int) -> DataFrame | None:
+    """Hashes of the batches before this one; a batch that runs again must not know its own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(taken)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    return spark.read.schema(DOCUMENT).option("recursiveFileLookup", "true").parquet(out).select(F.col("doc_id").alias("file_hash")).distinct()
+    return spark.read.schema("file_hash string, batch int").parquet(taken).where(F.col("batch") < number).select("file_hash")

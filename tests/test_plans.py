@@ -74,6 +74,50 @@ def test_without_an_engine(spark, uploads):
     assert got["d"] == [2, 0, 0]
 
 
+class WordTable:
+    """Fails on page 2, in the other shape of rows."""
+
+    def word_table(self, doc, page, content):
+        if page == 2:
+            raise RuntimeError("too dark")
+        for n, w in enumerate(["table", "words"]):
+            yield {"doc_id": doc, "page": page, "word_pos": n, "block_num": 1, "text": w, "conf": 90.0, "left": 1.0 + n, "top": 1.0, "width": 5.0, "height": 2.0}
+
+
+class Batches:
+    batch_pages = 2
+
+    def recognise_batch(self, pages):
+        if any(p == 3 for _, p, _ in pages):
+            raise RuntimeError("page 3")
+        for d, p, _ in pages:
+            yield {"doc_id": d, "page": p, "block_no": 0, "line_no": 0, "word_no": 0, "value": f"batch of {len(pages)}", "confidence": 0.9, "line_bbox": {"x1": 0.1, "y1": 0.1, "x2": 0.9, "y2": 0.2}}
+
+
+def test_engines_in_turn_and_in_batches(spark):
+    files = spark.createDataFrame([("d", "d.pdf", GOOD.encode())], "doc_id string, source_file string, content binary")
+    texts = lambda p: [[b.text for b in x.blocks if b.type != "table"] for x in p.documents.first().pages]
+    both = documents.parse(files, Reader(), [WordTable(), Engine()])
+    assert texts(both)[1:] == [["scanned words here"], ["table words"]] and both.errors.count() == 0
+    alone = documents.parse(files, Reader(), WordTable(), keep=True)
+    assert texts(alone)[1:] == [[], ["table words"]]
+    assert [(r.page, r.step, r.error) for r in alone.errors.collect()] == [(2, "recognise", "RuntimeError: too dark")]
+    alone.release()
+    some = documents.parse(files, Reader(), Batches())
+    assert texts(some)[1] == ["batch of 1"] and [(r.page, r.error) for r in some.errors.collect()] == [(3, "RuntimeError: page 3")]
+
+
+def test_what_a_reader_fails_on_is_reported(spark):
+    class Half(Reader):
+        def tables(self, doc, content):
+            raise ValueError("no tables")
+
+    files = spark.createDataFrame([("d", "d.pdf", GOOD.encode())], "doc_id string, source_file string, content binary")
+    got = documents.parse(files, Half())
+    assert [(r.step, r.error) for r in got.errors.collect()] == [("tables", "ValueError: no tables")]
+    assert got.documents.first().pages[0].blocks[0].text.startswith("Hello")
+
+
 def test_json_round_trip(spark, processed, tmp_path):
     docs = processed
     files.write_documents(docs, str(tmp_path / "j"))

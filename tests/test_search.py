@@ -43,6 +43,20 @@ def test_plan_is_a_top_k(vectors):
     assert "TakeOrderedAndProject" in plan
 
 
+def test_keywords_are_tested_on_the_best_rows_only(spark, vectors, tmp_path):
+    """The scan of the texts sees the k keys and no keyword test, which stays above the join."""
+    vectors.select("chunk_id", "text").write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    best = V.top_k(vectors.select("chunk_id", "embedding"), [1.0, 0.0], 3).select("chunk_id", "similarity")
+    found = V.keyword_filter(V.with_rows(best, texts), "dano moral")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "In(chunk_id" in plan and "regexp_extract_all" in plan
+    scan = plan[plan.index("Generate") :]
+    assert "regexp_extract_all" not in scan and "FileScan" in scan
+    assert {r.chunk_id for r in found.collect()} == {"a", "b"}
+    assert V.with_rows(best.where("similarity > 5"), texts).count() == 0
+
+
 def test_search_filters_after_the_limit(vectors):
     assert [r.chunk_id for r in V.search(vectors, SearchRequest("dano moral", 2), Client()).collect()] == ["a"]
     assert {r.chunk_id for r in V.search(vectors, SearchRequest("dano moral", 3), Client()).collect()} == {"a", "b"}

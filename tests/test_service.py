@@ -1,8 +1,8 @@
 import pytest
 
 from pagewright.operators.catalog import NotReady
-from pagewright.plans.service import Service
-from pagewright.schemas import AgentRequest, SearchRequest
+from pagewright.plans.service import ParquetVectors, Service
+from pagewright.schemas import CHUNK, AgentRequest, SearchRequest
 from pagewright.sources.tables import VersionedTable
 
 from .test_plans import GOOD, Chat, Engine, Reader
@@ -25,7 +25,7 @@ def test_from_upload_to_answer(spark, tmp_path):
     codes = {r.path: r.code for r in s.submit(files).collect()}
     assert codes == {"/in/a.pdf": 202, "/in/b.pdf": 409, "/in/c.txt": 400, "/in/bad.pdf": 202}
     assert s.list_jobs()[1] == 2 and s.list_documents("pending")[1] == 2
-    assert s.work(files) == 2 and s.work(files) == 0
+    assert s.work(jobs=1) == 1 and s.run_worker(until_empty=True) == 1 and s.work(files) == 0
     states = {r.filename: (r.document_id, r.status) for r in s.catalog.collect()}
     assert states["a.pdf"][1] == "processed" and states["bad.pdf"][1] == "failed"
     assert {r.status for r in s.jobs.collect()} == {"uploaded", "failed"}
@@ -52,6 +52,30 @@ def test_from_upload_to_answer(spark, tmp_path):
     assert e.value.code == 503
 
 
+def test_vectors_are_replaced_by_document(spark, tmp_path):
+    store = ParquetVectors(spark, str(tmp_path))
+    row = lambda c, d, v: (c, d, "f", 1, "b", "paragraph", c, 1.0, v)
+    chunks = lambda *r: spark.createDataFrame(list(r), CHUNK + ", embedding array<float>")
+    assert store.upsert(chunks(row("a1", "a", [1.0, 0.0]), row("a2", "a", [0.0, 1.0]), row("b1", "b", [1.0, 1.0]))) == 3
+    assert store.upsert(chunks(row("a1", "a", [0.0, 2.0]))) == 1
+    assert {(r.chunk_id, tuple(r.embedding)) for r in store.read().collect()} == {("a1", (0.0, 2.0)), ("b1", (1.0, 1.0))}
+    assert [r.chunk_id for r in store.query([1.0, 0.0], 5).collect()] == ["b1", "a1"]
+    store.delete_document("b")
+    assert [r.chunk_id for r in store.read().collect()] == ["a1"]
+
+
+def test_a_broken_batch_keeps_its_traceback(spark, tmp_path):
+    class Torn(Reader):
+        def pages(self, doc, content):
+            yield {"doc_id": doc, "page": "no number"}
+
+    s = Service(spark, str(tmp_path), Torn())
+    s.submit(spark.createDataFrame([("/a.pdf", GOOD.encode())], "path string, content binary"))
+    assert s.work() == 1
+    job = s.jobs.first()
+    assert job.status == "failed" and "Traceback" in job.error_message
+
+
 def test_versions(spark, tmp_path):
     t = VersionedTable(str(tmp_path / "t"), "a int, b string")
     assert t.read(spark).count() == 0

@@ -1,6 +1,8 @@
 import datetime
 import os
+import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pagewright.operators import jobs as J
@@ -27,6 +29,35 @@ def test_stream_over_several_batches_equals_the_batch_fold(spark, tmp_path):
     assert last == want
 
 
+class State:
+    def __init__(self):
+        self.exists, self.get = False, None
+
+    def update(self, row):
+        self.exists, self.get = True, row
+
+
+def test_the_fold_equals_the_batch_fold_in_any_order(spark):
+    """Shuffled transitions in shuffled batches, late errors and hashes among them."""
+    rng = random.Random(3)
+    rows, folded = [], {}
+    for j in range(120):
+        own = []
+        for k in range(rng.randrange(1, 9)):
+            own.append((str(j), k, at(rng.randrange(6)), rng.choice(["queued", "processing", "uploaded", "failed"]), rng.choice([None, "", "e%d" % k]), rng.choice([None, "h%d" % k])))
+        rng.shuffle(own)
+        rows += own
+        state, left = State(), own
+        while left:
+            n = rng.randrange(1, len(left) + 1)
+            part = pd.DataFrame(left[:n], columns=["job_id", "seq", "ts", "status", "error_message", "file_hash"])
+            out = list(S.fold((str(j),), iter([part]), state))[0]
+            left = left[n:]
+        folded[str(j)] = tuple(None if v is None or v is pd.NaT else v for v in out.iloc[0].tolist()[1:])
+    want = {r.job_id: tuple(r)[1:] for r in J.job_states(spark.createDataFrame(rows, EVENTS)).select("job_id", "status", "created_at", "started_at", "completed_at", "error_message", "file_hash").collect()}
+    assert folded == want
+
+
 def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
     """A batch drops by the watermark that the batch before it began with."""
     day = lambda d, h: datetime.datetime(2024, 1, d, h)
