@@ -114,12 +114,18 @@ def parse(files: DataFrame, reader: P.PdfReader, engine=None, config: EngineConf
     and errors are both wanted; ``release`` lets go of it.
     """
     steps = {what: P.extract(files, reader, what, ddl) for what, ddl in (("pages", P.PAGES), ("words", P.WORDS), ("images", P.IMAGES), ("tables", P.TABLES))}
-    if keep:
-        steps = {what: rows.persist() for what, rows in steps.items()}
+    kept: list[DataFrame] = []
+
+    def held(rows: DataFrame) -> DataFrame:
+        if keep:
+            kept.append(rows.persist())
+        return rows
+
+    steps = {what: held(rows) for what, rows in steps.items()}
     errors = [rows.where("error is not null").select("doc_id", "page", F.lit(what).alias("step"), "error") for what, rows in steps.items()]
     pages = steps["pages"]
     words, images, detected = (steps[x].where("error is null").drop("error") for x in ("words", "images", "tables"))
-    typed = classify.classify_pages(pages, words, images, config)
+    typed = held(classify.classify_pages(pages, words, images, config))
     digital, scanned = classify.route(typed)
     texts = digital_blocks(words.join(digital.select(*PAGE), list(PAGE), "left_semi"), digital, config)
     engines = [] if engine is None else list(engine) if isinstance(engine, (list, tuple)) else [engine]
@@ -129,7 +135,8 @@ def parse(files: DataFrame, reader: P.PdfReader, engine=None, config: EngineConf
         texts = texts.unionByName(read)
         errors.append(failed)
     found = tables.table_blocks(detected.join(digital.select(*PAGE), list(PAGE), "left_semi"), config)
-    return Parsed(assemble(typed, merge_tables(texts, found, config), files), reduce(DataFrame.unionByName, errors), tuple(steps.values()) if keep else ())
+    merged = merge_tables(held(texts), held(found), config)
+    return Parsed(assemble(typed, merged, files), reduce(DataFrame.unionByName, errors), tuple(kept))
 
 
 def process(files: DataFrame, reader: P.PdfReader, engine=None, config: EngineConfig = EngineConfig()) -> DataFrame:

@@ -197,6 +197,15 @@ class Service:
     def get_job(self, job_id: str) -> DataFrame:
         return _found(J.get(self.jobs, job_id), f"no job {job_id}")
 
+    def wait_for(self, job_id: str, timeout: float = 600.0, interval: float = 1.0) -> str:
+        """Poll a job until it is uploaded or failed; its status then, or where the time ends."""
+        end = time.monotonic() + timeout
+        while True:
+            status = self.get_job(job_id).first().status
+            if status in J.TERMINAL or time.monotonic() >= end:
+                return status
+            time.sleep(interval)
+
     def list_documents(self, status: str | None = None, limit: int = 20, offset: int = 0) -> tuple[DataFrame, int]:
         _page(limit, offset)
         if status is not None and status not in DOCUMENT_STATES:

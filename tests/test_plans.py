@@ -236,3 +236,27 @@ def test_images():
     assert images.preprocess(np.stack([page] * 3, -1)).shape == page.shape and images.binarize(page, "adaptive").shape == page.shape
     with pytest.raises(ValueError):
         images.binarize(page, "other")
+
+
+def test_images_in_a_table(spark):
+    page = np.full((40, 60), 250, np.uint8)
+    page[10:12, 5:50] = 10
+    colour = np.stack([page] * 3, -1)
+    rows = [("d", 1, 40, 60, 1, page.tobytes()), ("d", 2, 40, 60, 3, colour.tobytes()), ("d", 3, 40, 60, 1, None)]
+    table = spark.createDataFrame(rows, "doc_id string, page int, height int, width int, channels int, pixels binary")
+    got = {r.page: r for r in images.transform_pages(table, ["gray", "binarize"]).collect()}
+    assert got[3].pixels is None and got[2].channels == 1
+    assert bytes(got[1].pixels) == images.binarize(page).tobytes() == bytes(got[2].pixels)
+    assert images.transform_pages(table, ["prepare"], dpi=150).where("page = 1").first().height == 80
+    with pytest.raises(ValueError):
+        images.transform_pages(table, ["sharpen"])
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from pagewright import __main__ as cli
+
+    (tmp_path / "a.pdf").write_bytes(GOOD.encode())
+    assert cli.main(["process", str(tmp_path / "a.pdf"), "--out", str(tmp_path / "out"), "--reader", "tests.test_plans:Reader"]) == 0
+    said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert (said["documents"], said["pages"], said["tables"], said["errors"]) == (1, 3, 1, [])
+    assert cli.main(["check"]) == 0 and json.loads(capsys.readouterr().out)["ok"]

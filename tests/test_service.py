@@ -30,6 +30,7 @@ def test_from_upload_to_answer(spark, tmp_path):
     assert states["a.pdf"][1] == "processed" and states["bad.pdf"][1] == "failed"
     assert {r.status for r in s.jobs.collect()} == {"uploaded", "failed"}
     assert s.get_job(states["bad.pdf"][0]).first().error_message
+    assert s.wait_for(states["bad.pdf"][0]) == "failed" and s.wait_for(states["a.pdf"][0], timeout=0) == "uploaded"
     doc = states["a.pdf"][0]
     found = s.search(SearchRequest("contrato de locacao", document_id=doc))
     assert found["total_matches"] == 1 and found["results"][0]["source_file"] == "a.pdf"
