@@ -69,58 +69,136 @@ def top_k_join(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("query", "embedding")
 
 
-def top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_id", block: int = 2048) -> DataFrame:
+def top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_id", block: int = 32768) -> DataFrame:
     """``top_k_join`` for as many queries as there are vectors: (query_id, key, rank, similarity).
 
-    Both sides are packed into blocks by hash, every pair of blocks is one matrix product,
-    and only its k best a query go on. Products merely find candidates; their cosines are
-    summed in order as ``cosine`` does, so ties fall to the smallest key. Vectors without
-    length are nobody's neighbour and have none. Ids are longs.
+    A partition holds one block of queries and streams its share of the vectors past them in
+    Arrow batches of plain rows, so Python holds the block, a batch and the best so far, whatever
+    the tables' sizes; only k rows a query and share are shuffled after it. Products in single
+    precision merely find candidates, with a margin for their rounding; the cosines of those
+    that stay are summed in doubles and in order as ``cosine`` does, so ties fall to the smallest
+    key. Vectors without length are nobody's neighbour and have none. Ids are longs.
     """
-
-    def packed(df: DataFrame, name: str, vector: str, side: str) -> DataFrame:
-        some = df.where(F.col(name).isNotNull() & F.col(vector).isNotNull())
-        n = max(1, -(-some.count() // block))
-        row = F.struct(F.col(name).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-        return some.groupBy(F.pmod(F.xxhash64(name), F.lit(n)).alias("__block")).agg(F.collect_list(row).alias(side)).select(side)
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        def matrix(cell):
-            ids, v = cell.values.field("id").to_numpy(zero_copy_only=False), np.array(cell.values.field("v").to_pylist(), dtype=np.float64)
-            square = np.zeros(len(v))
-            for j in range(v.shape[1]):
-                square += v[:, j] * v[:, j]
-            some = square > 0
-            order = np.flatnonzero(some)[np.argsort(ids[some], kind="stable")]
-            return ids[order], v[order], np.sqrt(square[order])
-
-        for batch in batches:
-            for at in range(batch.num_rows):
-                (qi, q, qn), (vi, v, vn) = matrix(batch.column(0)[at]), matrix(batch.column(1)[at])
-                if not len(qi) or not len(vi):
-                    continue
-                score = (q @ v.T) / qn[:, None] / vn
-                last = np.partition(score, -min(k, len(vi)), axis=1)[:, -min(k, len(vi))]
-                a, b = np.nonzero(score >= last[:, None] - 1e-9)
-                dot = np.zeros(len(a))
-                for j in range(q.shape[1]):
-                    dot += v[b, j] * q[a, j]
-                exact = dot / (vn[b] * qn[a])
-                order = np.lexsort((b, -exact, a))
-                a, b, exact = a[order], b[order], exact[order]
-                keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-                yield pa.RecordBatch.from_arrays([pa.array(qi[a[keep]], pa.int64()), pa.array(vi[b[keep]], pa.int64()), pa.array(exact[keep], pa.float64())], names=["query_id", key, "similarity"])
-
-    # One side is spread over the tasks; spreading the pairs would shuffle every block many times.
-    spread = packed(queries, "query_id", "query", "q").repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    best = spread.crossJoin(packed(vectors, key, "embedding", "v")).mapInArrow(run, f"query_id long, {key} long, similarity double")
+    spark = queries.sparkSession
+    some = queries.where(F.col("query_id").isNotNull() & F.col("query").isNotNull())
+    n, width = some.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("query")), F.lit(1))).first()
+    parts = max(1, -(-n // max(1, min(block, 64 * block // max(1, width)))))
+    shares = max(1, -(-2 * spark.sparkContext.defaultParallelism // parts))
+    of = lambda name, m: F.pmod(F.xxhash64(name), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    q = some.select(F.lit(0).alias("side"), F.col("query_id").cast("long").alias("id"), F.col("query").alias("v"), of("query_id", parts).alias("p"), every(shares).alias("s"))
+    v = vectors.where(F.col(key).isNotNull() & F.col("embedding").isNotNull()).select(F.lit(1).alias("side"), F.col(key).cast("long").alias("id"), F.col("embedding").alias("v"), of(key, shares).alias("s"), every(parts).alias("p"))
+    place = (F.col("p") * shares + F.col("s")).alias("cell")
+    rows = q.select(place, "side", "id", "v").unionByName(v.select(place, "side", "id", "v"))
+    cells = rows.repartitionById(parts * shares, F.col("cell")).sortWithinPartitions("side")
+    best = cells.select("side", "id", "v").mapInArrow(lambda batches: _best_of_cell(batches, k, key), f"query_id long, {key} long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _best_of_cell(batches, k: int, key: str):
+    """The k best of the vectors (side 1) for each query (side 0); all queries come first."""
+    import numpy as np
+    import pyarrow as pa
+
+    def matrix(batch):
+        """Ids, vectors, norms and unit vectors in single precision of the rows that have a length."""
+        ids, cells = batch.column("id").to_numpy(zero_copy_only=False), batch.column("v")
+        flat = cells.flatten().to_numpy(zero_copy_only=False)
+        if len(ids) and len(set(cells.value_lengths().to_pylist())) > 1:
+            raise ValueError("vectors of different lengths")
+        v = flat.reshape(len(ids), -1)
+        square = np.zeros(len(v))
+        for j in range(v.shape[1]):
+            square += v[:, j].astype(np.float64) ** 2
+        with_length = square > 0
+        ids, v, norm = ids[with_length], v[with_length], np.sqrt(square[with_length])
+        return ids, v, norm, (v / norm[:, None]).astype(np.float32)
+
+    def cosines(a, x, xn):
+        out = np.empty(len(a))
+        for at in range(0, len(a), 8192):
+            some = slice(at, at + 8192)
+            left, right, dot = qv[a[some]].astype(np.float64).T.copy(), x[some].astype(np.float64).T.copy(), 0.0
+            for j in range(len(left)):
+                dot = dot + right[j] * left[j]
+            out[some] = dot / (xn[some] * qn[a[some]])
+        return out
+
+    def exact(a, ids, x, xn):
+        """Places of the k best of each query, and their cosines."""
+        s = cosines(a, x, xn)
+        order = np.lexsort((ids, -s, a))
+        first = np.arange(len(a)) - np.searchsorted(a[order], a[order])
+        keep = order[first < k]
+        return keep, s[keep]
+
+    def pruned(pool):
+        """The candidates that may still be among the k best; least[q] is what a new one must reach."""
+        a, score, ids, x, xn = (np.concatenate(c) for c in zip(*pool))
+        order = np.lexsort((-score, a))
+        a, score = a[order], score[order]
+        nth = np.arange(len(a)) - np.searchsorted(a, a)
+        last = nth == k - 1
+        least[a[last]] = score[last] - margin
+        keep = score >= least[a]
+        a, score, order = a[keep], score[keep], order[keep]
+        crowded = np.bincount(a, minlength=len(qi))[a] > 2 * k
+        if crowded.any():  # many ties: decide them now
+            where = np.flatnonzero(crowded)
+            stay, _ = exact(a[where], ids[order[where]], x[order[where]], xn[order[where]])
+            keep = np.sort(np.concatenate([np.flatnonzero(~crowded), where[stay]]))
+            a, score, order = a[keep], score[keep], order[keep]
+        return [(a, score, ids[order], x[order], xn[order])]
+
+    head, pool, pooled, limit = [], [], 0, 0
+    qi = None
+    for batch in batches:
+        side = batch.column("side").to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(side, 1))
+        if cut:
+            head.append(matrix(batch.slice(0, cut)))
+        if cut == batch.num_rows:
+            continue
+        if qi is None:
+            if not head:
+                return
+            qi, qv, qn, unit = (np.concatenate(c) for c in zip(*head))
+            head, least = [], np.full(len(qi), -np.inf, dtype=np.float32)
+            margin = np.float32((unit.shape[1] + 8) * 2.0**-22)
+        ids, v, norm, vu = matrix(batch.slice(cut))
+        if len(ids) and len(qi) and v.shape[1] != qv.shape[1]:
+            raise ValueError("vectors of different lengths")
+        for at in range(0, len(ids), 2048):
+            here = np.ascontiguousarray(vu[at : at + 2048].T)
+            for low in range(0, len(qi), 1024):
+                score, bound = unit[low : low + 1024] @ here, least[low : low + 1024]
+                if np.isneginf(bound).any() and score.shape[1] >= k:
+                    bound = np.maximum(bound, np.partition(score, -k, axis=1)[:, -k] - margin)
+                found = np.flatnonzero(score >= bound[:, None])
+                a, b = found // score.shape[1] + low, found % score.shape[1]
+                score = score.ravel()[found]
+                if len(a) > 8 * k * 1024:  # many ties: no more than k a query go on
+                    stay = []
+                    for part in np.array_split(np.arange(len(a)), -(-len(a) // 65536)):
+                        stay.append(part[exact(a[part], ids[at + b[part]], v[at + b[part]], norm[at + b[part]])[0]])
+                    stay = np.concatenate(stay)
+                    a, b, score = a[stay], b[stay], score[stay]
+                if len(a):
+                    pool.append((a, score, ids[at + b], v[at + b], norm[at + b]))
+                    pooled += len(a)
+                if pooled > limit + 4 * k * len(qi):
+                    pool = pruned(pool)
+                    pooled = limit = len(pool[0][0])
+            if pooled > 1.5 * limit:
+                pool = pruned(pool)
+                pooled = limit = len(pool[0][0])
+    if pool:
+        a, _, ids, x, xn = (np.concatenate(c) for c in zip(*pool))
+        keep, s = exact(a, ids, x, xn)
+        yield pa.RecordBatch.from_arrays([pa.array(qi[a[keep]], pa.int64()), pa.array(ids[keep], pa.int64()), pa.array(s, pa.float64())], names=["query_id", key, "similarity"])
+
+
 def keyword_filter(results: DataFrame, query: str) -> DataFrame:
     """Results that pass the query's keywords; see ``keywords.matches``."""
     return results.where(K.matches(K.tokens(F.lit(query)), K.tokens(F.col("text"))))

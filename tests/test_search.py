@@ -159,3 +159,15 @@ def test_top_k_blocks_equals_brute_force(spark):
     q = v.selectExpr("chunk_id AS query_id", "embedding AS query")
     got = {(r.query_id, r.rank): r.chunk_id for r in V.top_k_blocks(q, v, 4, block=16).collect()}
     assert got == want
+
+
+def test_top_k_blocks_streams_plain_rows_and_decides_many_ties(spark):
+    """Copies by the thousand: the smallest keys win, and no pair of blocks travels as a row."""
+    rows = [(k, [1.0, 0.0] if k % 2 else [0.0, 2.0]) for k in range(6000)]
+    v = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(3)
+    q = v.selectExpr("chunk_id AS query_id", "embedding AS query")
+    best = V.top_k_blocks(q, v, 2, block=1500)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got = {(r.query_id, r.rank): (r.chunk_id, r.similarity) for r in best.collect()}
+    assert got == {(k, n): (2 * n - 2 + k % 2, 1.0) for k in range(6000) for n in (1, 2)}
