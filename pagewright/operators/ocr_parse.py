@@ -59,4 +59,7 @@ def postprocess_blocks(blocks: DataFrame, config: EngineConfig = EngineConfig())
         return blocks
     clean = postprocess_ocr(F.col("text"), config.ocr_clean, config.ocr_fix_errors, config.ocr_merge_words, config.ocr_min_line_length)
     had_none = F.col("text").isNull() | (F.col("text") == "")
-    return blocks.withColumn("__clean", clean).where(had_none | (F.length("__clean") >= 2)).withColumn("text", F.when(had_none, F.col("text")).otherwise(F.col("__clean"))).drop("__clean")
+    # One array of none or one text: a filter on the cleaned text would be moved below it and clean twice.
+    kept = F.filter(F.array(F.when(had_none, F.col("text")).otherwise(clean)), lambda t: had_none | (F.length(t) >= 2))
+    others = [c for c in blocks.columns if c != "text"]
+    return blocks.select(*others, F.explode(kept).alias("text")).select(*blocks.columns)

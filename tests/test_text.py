@@ -101,3 +101,26 @@ def test_line_break_class():
 
     for sign in "\n\r\x0b\x0c\x1c\x1d\x1e\x85  ":
         assert re.fullmatch(LINE_BREAK, sign), repr(sign)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clean_up_trims_all_blanks_and_reads_long_runs_of_them_once(spark):
+    import time
+
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    assert run(spark, [b + "x" + b + "y" + b for b in blanks], T.strip) == ["x" + b + "y" for b in blanks]
+    assert "regexp_count" not in _plan(spark.range(1).select(T.postprocess_ocr(F.lit("a").substr(F.lit(1), F.col("id").cast("int")))))
+    long, began = "ab" + " " * 150_000 + "cd", time.time()
+    assert run(spark, [long], T.clean_ocr_text) == ["ab cd"] and time.time() - began < 10
+
+
+def test_blocks_are_cleaned_once(spark):
+    from pagewright.operators import ocr_parse
+
+    df = spark.range(4).selectExpr("id AS doc_id", "CASE id WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '|' ELSE 'two words' END AS text", "id AS last")
+    clean = ocr_parse.postprocess_blocks(df)
+    assert _plan(clean).count("[#*") == 1 and clean.columns == df.columns
+    assert {r.doc_id: r.text for r in clean.collect()} == {0: None, 1: "", 3: "two words"}
