@@ -108,19 +108,16 @@ def _is_upper(word: Column) -> Column:
 
 
 def _merge_line(line: Column) -> Column:
-    words = F.filter(F.split(line, rf"(?U){BLANK}+"), lambda w: w != "")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("held"))
+    """Each word becomes a letter for its length and case; on those, a line's pairs are one replacement."""
+    by_length = lambda w, one, two, more: F.when(F.length(w) == 1, one).when(F.length(w) == 2, two).otherwise(more)
+    letter = lambda w: F.when(_is_upper(w), by_length(w, "A", "B", "C")).otherwise(by_length(w, "a", "b", "c"))
 
-    def step(state: Column, word: Column) -> Column:
-        held = state["held"]
-        joins = held.isNotNull() & (F.length(held) <= 2) & (F.length(word) >= 2) & (_is_upper(held) == _is_upper(word))
-        out = F.when(held.isNull(), state["out"]).when(joins, F.concat(state["out"], F.array(F.concat(held, word)))).otherwise(F.concat(state["out"], F.array(held)))
-        return F.struct(out.alias("out"), F.when(joins, F.lit(None).cast("string")).otherwise(word).alias("held"))
+    def merged(words: Column) -> Column:
+        marks = F.regexp_replace(F.array_join(F.transform(words, letter), ""), "[AB][BC]|[ab][bc]", "+.")
+        spaced = F.zip_with(words, F.split(marks, ""), lambda w, m: F.when(m == "+", w).otherwise(F.concat(w, F.lit(" "))))
+        return F.when(F.size(words) < 2, line).otherwise(F.rtrim(F.array_join(spaced, "")))
 
-    def finish(state: Column) -> Column:
-        return F.array_join(F.when(state["held"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(state["held"]))), " ")
-
-    return F.when(F.size(words) < 2, line).otherwise(F.aggregate(words, start, step, finish))
+    return bind(F.filter(F.split(line, rf"(?U){BLANK}+"), lambda w: w != ""), merged)
 
 
 def merge_broken_words(text: Column) -> Column:

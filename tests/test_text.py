@@ -124,3 +124,9 @@ def test_blocks_are_cleaned_once(spark):
     clean = ocr_parse.postprocess_blocks(df)
     assert _plan(clean).count("[#*") == 1 and clean.columns == df.columns
     assert {r.doc_id: r.text for r in clean.collect()} == {0: None, 1: "", 3: "two words"}
+
+
+def test_broken_words_of_a_long_line_are_one_replacement(spark):
+    line = " ".join(["a", "bc", "DE", "F", "gh", "IJ"] * 5000)
+    assert run(spark, [line], T.merge_broken_words) == [python_merge(line)]
+    assert "aggregate(" not in _plan(spark.range(1).select(T.merge_broken_words(F.concat(F.lit("a b"), F.col("id")))))
