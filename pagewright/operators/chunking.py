@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LINE_BREAK, strip, strip_leading_hash
+from ..functions.text import BLANK, LINE_BREAK, bind, strip, strip_leading_hash
 
 MIN_CHARS, MAX_CHARS, MAX_ROWS = 50, 1200, 40
 
@@ -27,26 +27,21 @@ CERTIFICATE_URL = "https?:/{2}comunicaapi[.]pje[.]jus[.]br/.*/certidao"
 
 
 def split_segment(segment: Column, limit: int = MAX_CHARS) -> Column:
-    """Struct (pieces, rest): full pieces cut off a long line, each at the last blank of its second half."""
-    start = F.struct(F.array().cast(_STRINGS).alias("pieces"), segment.alias("rest"))
+    """Struct (pieces, rest): full pieces cut off a long trimmed line, each at the last blank of its second half.
 
-    def step(s: Column, _: Column) -> Column:
-        rest = s["rest"]
-        back = F.instr(F.reverse(F.substring(rest, 1, limit)), " ")
-        at = F.when((back > 0) & (limit - back >= limit // 2), limit - back).otherwise(F.lit(limit))
-        piece, more = strip(F.left(rest, at)), strip(F.substr(rest, at + 1))
-        pieces = F.when(piece != "", F.concat(s["pieces"], F.array(piece))).otherwise(s["pieces"])
-        long = F.length(rest) > limit
-        return F.struct(F.when(long, pieces).otherwise(s["pieces"]).alias("pieces"), F.when(long, more).otherwise(rest).alias("rest"))
-
-    steps = F.when(F.length(segment) > limit, F.sequence(F.lit(1), F.ceil(F.length(segment) / F.lit(limit // 2)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step)
+    One pattern cuts all pieces, each from where the last one ended, so a line is read once
+    and not once for each of its pieces.
+    """
+    full = rf"(?sU)\G(?=.{{{limit + 1}}})(.{{{limit // 2},{limit - 1}}}(?= )|.{{{limit}}}){BLANK}*"
+    cut = F.length(segment) > limit
+    pieces = F.filter(F.transform(F.regexp_extract_all(segment, F.lit(full), F.lit(1)), strip), lambda p: p != "")
+    return F.struct(F.when(cut, pieces).otherwise(F.array().cast(_STRINGS)).alias("pieces"), F.when(cut, F.regexp_replace(segment, full, "")).otherwise(segment).alias("rest"))
 
 
 def split_text(text: Column, limit: int = MAX_CHARS) -> Column:
     """Array of chunks of at most ``limit`` characters; lines are packed, long lines are cut."""
     lines = F.filter(F.transform(F.split(strip(F.coalesce(text, F.lit(""))), LINE_BREAK), strip), lambda s: s != "")
-    unit = lambda t, whole: F.struct(t.alias("t"), whole.alias("whole"))
+    unit = lambda t, whole: F.struct(t.alias("t"), whole.alias("whole"), (F.length(t) + 1).alias("size"))
 
     def units(cut: Column) -> Column:
         return F.concat(F.transform(cut["pieces"], lambda p: unit(p, F.lit(True))), F.array(unit(cut["rest"], F.lit(False))))
@@ -54,15 +49,14 @@ def split_text(text: Column, limit: int = MAX_CHARS) -> Column:
     every = F.flatten(F.transform(F.transform(lines, lambda x: split_segment(x, limit)), units))
     none = F.lit(None).cast("string")
     start = F.struct(F.array().cast(_STRINGS).alias("out"), none.alias("held"), F.lit(0).alias("n"))
+    state = lambda out, held, n: F.struct(out.alias("out"), held.alias("held"), n.alias("n"))
 
     def step(s: Column, u: Column) -> Column:
-        size = F.length(u["t"]) + 1
-        flush = s["held"].isNotNull() & (u["whole"] | (s["n"] + size > limit))
-        out = F.when(flush, F.concat(s["out"], F.array(s["held"]))).otherwise(s["out"])
-        held, n = F.when(flush, none).otherwise(s["held"]), F.when(flush, F.lit(0)).otherwise(s["n"])
-        empty = u["t"] == ""
-        joined = F.when(held.isNull(), u["t"]).otherwise(F.concat(held, F.lit("\n"), u["t"]))
-        return F.struct(F.when(u["whole"], F.concat(out, F.array(u["t"]))).otherwise(out).alias("out"), F.when(u["whole"] | empty, held).otherwise(joined).alias("held"), F.when(u["whole"] | empty, n).otherwise(n + size).alias("n"))
+        flush = s["held"].isNotNull() & (u["whole"] | (s["n"] + u["size"] > limit))
+        flushed = F.when(flush, state(F.concat(s["out"], F.array(s["held"])), none, F.lit(0))).otherwise(s)
+        joined = lambda s: F.when(s["held"].isNull(), u["t"]).otherwise(F.concat(s["held"], F.lit("\n"), u["t"]))
+        added = lambda s: F.when(u["whole"], state(F.concat(s["out"], F.array(u["t"])), s["held"], s["n"])).when(u["t"] == "", s).otherwise(state(s["out"], joined(s), s["n"] + u["size"]))
+        return bind(flushed, added)
 
     return F.aggregate(every, start, step, lambda s: F.when(s["held"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["held"]))))
 
@@ -98,9 +92,13 @@ def chunk_blocks(blocks: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
     text = strip(F.coalesce("text", F.lit("")))
     parts = F.when(text != "", split_text(text)).otherwise(F.flatten(F.transform(split_rows(F.col("rows")), lambda t: split_text(t))))
-    held = blocks.withColumn("__parts", parts).select("*", F.posexplode("__parts").alias("__k", "__raw"))
-    suffix = F.when(F.size("__parts") > 1, F.concat(F.lit(":part"), (F.col("__k") + 1).cast("string"))).otherwise(F.lit(""))
-    clean = held.withColumn("__text", strip_leading_hash(strip(F.col("__raw")))).where((F.length("__text") >= min_chars) & ~is_low_value(F.col("__text")))
+    # Texts are cleaned before they are rows, else each test below would clean them again; a row carries its part only.
+    # The array stands in the generator itself: of a column, Spark infers filters and computes it once for each.
+    cleaned = bind(parts, lambda ps: F.transform(ps, lambda raw: F.struct((F.size(ps) > 1).alias("several"), strip_leading_hash(strip(raw)).alias("text"))))
+    keys = ("document_id", "source_file", "page_number", "block_id", "block_type", "confidence")
+    several = blocks.select(*keys, F.posexplode(cleaned).alias("__k", "__part")).select(*keys, "__k", F.col("__part.several").alias("__several"), F.col("__part.text").alias("__text"))
+    suffix = F.when(F.col("__several"), F.concat(F.lit(":part"), (F.col("__k") + 1).cast("string"))).otherwise(F.lit(""))
+    clean = several.where((F.length("__text") >= min_chars) & ~is_low_value(F.col("__text")))
     name = F.concat(F.col("block_id"), suffix)
     return clean.select(F.concat_ws(":", F.col("document_id").cast("string"), F.col("page_number").cast("string"), name).alias("chunk_id"), "document_id", "source_file", "page_number", name.alias("block_id"), "block_type", F.col("__text").alias("text"), "confidence")
 

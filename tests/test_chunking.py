@@ -79,3 +79,16 @@ def test_document_blocks(spark):
     page = (1, "digital", [("p1_b1", "paragraph", "t" * 60, [0.0, 0.0, 1.0, 1.0], 1.0, None, None)], 1.0, 1.0, "pt")
     docs = spark.createDataFrame([("d", "f.pdf", 1, None, [page])], DOCUMENT)
     assert [r.chunk_id for r in ck.chunk_blocks(ck.document_blocks(docs)).collect()] == ["d:1:p1_b1"]
+
+
+def test_each_chunk_is_cleaned_once_and_carries_its_own_text_only(spark):
+    from pyspark.sql import functions as F
+
+    from pagewright.operators import chunking
+
+    row = spark.range(1).selectExpr("id AS document_id", "'d.pdf' AS source_file", "1 AS page_number", "'b' AS block_id", "'paragraph' AS block_type", "concat(repeat('word ', 20000), id) AS text", "CAST(NULL AS array<array<string>>) AS rows", "1.0D AS confidence")
+    found = chunking.chunk_blocks(row)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{6,12}") == 1
+    texts = [r.text for r in found.orderBy(F.length("chunk_id"), "chunk_id").collect()]
+    assert " ".join(texts) == "word " * 20000 + "0" and {len(t) for t in texts[:-1]} == {1199}
