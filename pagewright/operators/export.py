@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import bind, strip
 
 MIN_FONT, MAX_FONT, FROM_HEIGHT = 4.0, 72.0, 0.8
 
@@ -14,11 +14,16 @@ _WIDTHS = {191: "'", 222: "ijl", 260: "|", 278: " !,./:;I[\\]ft", 333: "()-`r",
 WIDTH_OF = {c: w for w, cs in _WIDTHS.items() for c in cs} | {"r": 333}
 
 
+def _thousandths(text: Column) -> Column:
+    """Width of a text at size 1000. Widths stand in an array at their characters' codes."""
+    widths = F.array(*[F.lit(WIDTH_OF.get(chr(c), 556)) for c in range(128)])
+    one = lambda c: F.when(F.ascii(c) < 128, F.get(widths, F.ascii(c))).otherwise(F.lit(556))
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda n, c: n + one(c))
+
+
 def natural_width(text: Column, size: Column) -> Column:
     """Width of a text at a font size; characters out of the table count 556."""
-    table = F.create_map(*[F.lit(x) for kv in sorted(WIDTH_OF.items()) for x in kv])
-    total = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda n, c: n + F.coalesce(F.try_element_at(table, c), F.lit(556)))
-    return total * size / 1000.0
+    return _thousandths(text) * size / 1000.0
 
 
 def overlay_lines(blocks: DataFrame) -> DataFrame:
@@ -58,6 +63,7 @@ def place_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
 def fitting_font(text: Column, width: Column, largest: float = 16.0, smallest: float = 4.0) -> Column:
     """The first of a falling ladder of sizes at which the text fits; the smallest if none does."""
     ladder = F.array(*[F.lit(float(s)) for s in (largest, 14, 12, 10, 8, 6, smallest)])
-    fits = F.filter(ladder, lambda s: natural_width(text, s) <= width)
+    # The width is summed once, not for each size.
+    first = bind(_thousandths(text), lambda n: F.get(F.filter(ladder, lambda s: n * s / 1000.0 <= width), F.lit(0)))
     usable = text.isNotNull() & (text != "") & (width > 0)
-    return F.when(usable & (F.size(fits) > 0), F.try_element_at(fits, F.lit(1))).otherwise(F.lit(smallest))
+    return F.coalesce(F.when(usable, first), F.lit(smallest))

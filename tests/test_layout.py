@@ -127,3 +127,11 @@ def test_overlay(spark):
     assert x.font_size == pytest.approx(16.0) and x.x == pytest.approx(10) and x.y == pytest.approx(200 - 40 + 2) and x.horizontal_scale == pytest.approx(40 / (500 * 16 / 1000) * 100)
     df = spark.createDataFrame([("iiii", 30.0), ("WWWW", 30.0), ("", 30.0), ("WWWWWWWWWWWW", 10.0)], "t string, w double")
     assert [r.r for r in df.select(export.fitting_font(F.col("t"), F.col("w")).alias("r")).collect()] == [16.0, 6.0, 4.0, 4.0]
+
+
+def test_a_text_is_measured_once_for_all_sizes(spark):
+    df = spark.createDataFrame([("W" * 5 + "é\U0001d400 i'", 90.0), ("", 5.0), (None, 5.0), ("a", None)], "t string, w double")
+    font = df.select(export.fitting_font(F.col("t"), F.col("w")).alias("r"), F.round(export.natural_width(F.col("t"), F.lit(1000.0))).cast("long").alias("n"))
+    assert font._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
+    width = lambda t: sum(export.WIDTH_OF.get(c, 556) for c in t)
+    assert [(r.r, r.n) for r in font.collect()] == [(12.0, width("W" * 5 + "é\U0001d400 i'")), (4.0, 0), (4.0, None), (4.0, 556)]
