@@ -41,7 +41,8 @@ def overlay_lines(blocks: DataFrame) -> DataFrame:
     b = lambda k: F.element_at("bbox", k)
     height = b(4) - b(2)
     # With many lines a share of the height each, in reading order.
-    spread = F.transform(shared, lambda t, i: F.struct(t.alias("text"), F.array(b(1), b(2) + i * height / F.size(shared), b(3), b(2) + (i + 1) * height / F.size(shared)).alias("bbox")))
+    # The lines are bound: inside the lambda they would be split again for each line.
+    spread = bind(shared, lambda ls: F.transform(ls, lambda t, i: F.struct(t.alias("text"), F.array(b(1), b(2) + i * height / F.size(ls), b(3), b(2) + (i + 1) * height / F.size(ls)).alias("bbox"))))
     given = F.filter("lines", lambda x: x["text"].isNotNull() & (x["text"] != "") & (F.size(x["bbox"]) == 4))
     whole = (F.size("bbox") == 4)
     lines = F.when(~has_rows & own, given).when(whole, spread).otherwise(F.array().cast("array<struct<text:string,bbox:array<double>>>"))

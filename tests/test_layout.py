@@ -135,3 +135,13 @@ def test_a_text_is_measured_once_for_all_sizes(spark):
     assert font._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
     width = lambda t: sum(export.WIDTH_OF.get(c, 556) for c in t)
     assert [(r.r, r.n) for r in font.collect()] == [(12.0, width("W" * 5 + "é\U0001d400 i'")), (4.0, 0), (4.0, None), (4.0, 556)]
+
+
+def test_overlay_splits_a_text_once_whatever_its_lines(spark):
+    import time
+
+    text = "\n".join(f"line {k}" for k in range(4000))
+    df = spark.createDataFrame([("d", 1, "b", "paragraph", text, [0.0, 0.0, 1.0, 1.0], None, None)], "doc_id string, page int, block_id string, type string, text string, bbox array<double>, rows array<array<string>>, lines array<struct<text:string,bbox:array<double>>>")
+    began = time.time()
+    got = export.overlay_lines(df).collect()
+    assert time.time() - began < 15 and [(r.n, r.text, r.bbox[3]) for r in got] == [(k, f"line {k}", (k + 1) * 1.0 / 4000) for k in range(4000)]
