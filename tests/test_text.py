@@ -130,3 +130,13 @@ def test_broken_words_of_a_long_line_are_one_replacement(spark):
     line = " ".join(["a", "bc", "DE", "F", "gh", "IJ"] * 5000)
     assert run(spark, [line], T.merge_broken_words) == [python_merge(line)]
     assert "aggregate(" not in _plan(spark.range(1).select(T.merge_broken_words(F.concat(F.lit("a b"), F.col("id")))))
+
+
+def test_exact_tokens_need_no_python_and_know_all_signs(spark):
+    import unicodedata
+
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    values = ["".join(f"ab{c}c {c}{c}" for c in points[at : at + 64]) for at in range(0, len(points), 64)]
+    folded = ["".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)).lower() for v in values]
+    assert run(spark, values, lambda t: K.tokens(t, exact=True)) == [list(dict.fromkeys(re.findall("[a-z0-9]{4,}", f))) for f in folded]
+    assert "Python" not in spark.createDataFrame([("x",)], "t string").select(K.tokens(F.col("t"), exact=True))._jdf.queryExecution().executedPlan().toString()
