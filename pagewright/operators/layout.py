@@ -85,13 +85,20 @@ def detect_columns(blocks: DataFrame, min_blocks: int = 4, gap: float = 0.08, mi
     The widest gap between neighbouring x-centres, the first among equals, must reach
     ``gap`` and leave ``min_side`` of the blocks on either side.
     """
-    centre = (F.col("bbox.x1") + F.col("bbox.x2")) / 2
-    order = Window.partitionBy(*PAGE).orderBy("xc", "pos")
-    gaps = blocks.select(*PAGE, "pos", centre.alias("xc")).withColumn("before", F.lag("xc").over(order)).withColumn("left", F.row_number().over(order) - 1)
-    whole = gaps.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("before").isNotNull(), F.struct((F.col("xc") - F.col("before")).alias("gap"), (-F.col("left")).alias("neg_left"), ((F.col("before") + F.col("xc")) / 2).alias("boundary")))).alias("best"))
-    left = -F.col("best.neg_left")
-    enough = F.least(left, F.col("n") - left) / F.col("n") >= min_side
-    return whole.where((F.col("n") >= min_blocks) & (F.col("best.gap") >= gap) & enough).select(*PAGE, F.col("best.boundary").alias("boundary"))
+    return with_boundary(blocks.select(*PAGE, "pos", "bbox"), min_blocks, gap, min_side).where(F.col("boundary").isNotNull()).select(*PAGE, "boundary").distinct()
+
+
+def with_boundary(blocks: DataFrame, min_blocks: int = 4, gap: float = 0.08, min_side: float = 0.2) -> DataFrame:
+    """Each block with its page's ``boundary``, null on pages without two columns. Windows of one page need no join."""
+    page = Window.partitionBy(*PAGE)
+    order = page.orderBy("__xc", "pos")
+    gaps = blocks.withColumn("__xc", (F.col("bbox.x1") + F.col("bbox.x2")) / 2).withColumns({"__before": F.lag("__xc").over(order), "__left": F.row_number().over(order) - 1})
+    best = F.max(F.when(F.col("__before").isNotNull(), F.struct((F.col("__xc") - F.col("__before")).alias("gap"), (-F.col("__left")).alias("neg_left"), ((F.col("__before") + F.col("__xc")) / 2).alias("boundary"))))
+    whole = gaps.withColumns({"__n": F.count(F.lit(1)).over(page), "__best": best.over(page)})
+    left = -F.col("__best.neg_left")
+    enough = F.least(left, F.col("__n") - left) / F.col("__n") >= min_side
+    found = (F.col("__n") >= min_blocks) & (F.col("__best.gap") >= gap) & enough
+    return whole.withColumn("boundary", F.when(found, F.col("__best.boundary"))).drop("__xc", "__before", "__left", "__n", "__best")
 
 
 def number_bands(blocks: DataFrame, tolerance: float = 0.008, share: float = 0.3, by: tuple[str, ...] = PAGE) -> DataFrame:
@@ -101,7 +108,9 @@ def number_bands(blocks: DataFrame, tolerance: float = 0.008, share: float = 0.3
     of both heights, or it follows within the tolerance. A band's top is its first
     block's; its bottom grows.
     """
-    item = F.struct(F.col("bbox.y1").alias("y1"), F.col("pos").cast("long").alias("pos"), F.col("bbox.y2").alias("y2"))
+    others = [c for c in blocks.columns if c not in by]
+    # The whole block travels with its key, so it needn't be joined again.
+    item = F.struct(F.col("bbox.y1").alias("y1"), F.col("pos").cast("long").alias("pos"), F.col("bbox.y2").alias("y2"), F.struct(*others).alias("row"))
     page = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("bs"))
     start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("bottom"), F.lit(0).alias("band"), F.array().cast("array<int>").alias("out"))
 
@@ -114,8 +123,8 @@ def number_bands(blocks: DataFrame, tolerance: float = 0.008, share: float = 0.3
         return F.struct(F.when(same, s["top"]).otherwise(b["y1"]).alias("top"), F.when(same, F.greatest(s["bottom"], b["y2"])).otherwise(b["y2"]).alias("bottom"), band.alias("band"), F.concat(s["out"], F.array(band)).alias("out"))
 
     bands = F.aggregate("bs", start, step, lambda s: s["out"])
-    placed = page.select(*by, F.explode(F.zip_with("bs", bands, lambda b, n: F.struct(b["pos"].alias("pos"), n.alias("band")))).alias("b")).select(*by, "b.pos", "b.band")
-    return blocks.join(placed, [*by, "pos"])
+    placed = page.select(*by, F.explode(F.zip_with("bs", bands, lambda b, n: F.struct(b["row"].alias("row"), n.alias("band")))).alias("b"))
+    return placed.select(*by, "b.row.*", "b.band")
 
 
 def reading_order(blocks: DataFrame, order: str = "top-to-bottom", tolerance: float = 0.008, wide: float = 0.60) -> DataFrame:
@@ -131,17 +140,17 @@ def reading_order(blocks: DataFrame, order: str = "top-to-bottom", tolerance: fl
         return blocks.withColumn("reading_pos", F.row_number().over(page.orderBy("bbox.x1", "bbox.y1", "pos")))
     if order != "top-to-bottom":
         return blocks.withColumn("reading_pos", F.row_number().over(page.orderBy("pos")))
-    sided = blocks.join(detect_columns(blocks), list(PAGE), "left")
+    sided = with_boundary(blocks)
     centre = (F.col("bbox.x1") + F.col("bbox.x2")) / 2
     side = F.when(F.col("boundary").isNull(), F.lit(0)).when(F.col("bbox.x2") - F.col("bbox.x1") >= wide, F.lit(2)).when(centre < F.col("boundary"), F.lit(0)).otherwise(F.lit(1))
     banded = number_bands(sided.withColumn("__side", side), tolerance, by=(*PAGE, "__side"))
     in_column = F.row_number().over(page.orderBy("__side", "band", "bbox.x1", "bbox.y1", "pos"))
     ranked = banded.withColumn("__rank", in_column)
     # Wide blocks: the first column row at or below their top; all after it if there is none.
-    rows = ranked.where("__side < 2").groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("__rank", F.col("bbox.y1").alias("y1")))).alias("__rows"))
+    column_row = F.when(F.col("__side") < 2, F.struct("__rank", F.col("bbox.y1").alias("y1")))
     top = F.col("bbox.y1")
     at = F.array_min(F.transform(F.filter("__rows", lambda r: r["y1"] >= top), lambda r: r["__rank"]))
-    placed = ranked.join(rows, list(PAGE), "left").withColumn("__at", F.when(F.col("__side") < 2, F.col("__rank")).otherwise(F.coalesce(at, F.lit(2147483647))))
+    placed = ranked.withColumn("__rows", F.collect_list(column_row).over(page)).withColumn("__at", F.when(F.col("__side") < 2, F.col("__rank")).otherwise(F.coalesce(at, F.lit(2147483647))))
     # Wide blocks keep the order of their tops, so one can't pass another that still waits.
     waits = Window.partitionBy(*PAGE, "__side").orderBy("bbox.y1", "pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("__at", F.when(F.col("__side") == 2, F.max("__at").over(waits)).otherwise(F.col("__at")))

@@ -145,3 +145,9 @@ def test_overlay_splits_a_text_once_whatever_its_lines(spark):
     began = time.time()
     got = export.overlay_lines(df).collect()
     assert time.time() - began < 15 and [(r.n, r.text, r.bbox[3]) for r in got] == [(k, f"line {k}", (k + 1) * 1.0 / 4000) for k in range(4000)]
+
+
+def test_reading_order_reads_its_blocks_once(spark):
+    df = spark.createDataFrame([("d", 1, 1, (0.1, 0.1, 0.2, 0.2))], BLOCKS)
+    plan = layout.reading_order(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") == 1
