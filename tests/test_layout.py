@@ -151,3 +151,11 @@ def test_reading_order_reads_its_blocks_once(spark):
     df = spark.createDataFrame([("d", 1, 1, (0.1, 0.1, 0.2, 0.2))], BLOCKS)
     plan = layout.reading_order(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("LogicalRDD") == 1
+
+
+def test_merged_blocks_join_tables_only(spark):
+    from pagewright.plans import documents
+
+    df = spark.createDataFrame([("d", 1, 1, (0.1, 0.1, 0.2, 0.2))], BLOCKS).selectExpr("*", "'b' AS block_id", "'t' AS text")
+    plan = documents.merge_tables(df, df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("LogicalRDD") == 3
