@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.text import bind
 
 PAGE = ("doc_id", "page")
 
@@ -79,52 +80,78 @@ def remove_overlapping(texts: DataFrame, tables: DataFrame, threshold: float = 0
     return x.join(t, hit, "left_anti").drop(*[f"__{c}" for c in corners])
 
 
+def outside_tables(blocks: DataFrame, is_table: Column, threshold: float = 0.5) -> DataFrame:
+    """``remove_overlapping`` for text blocks and tables in one frame: it is read once, and the tables stay in it.
+
+    A page's tables travel to its blocks by a window, so there is no join.
+    """
+    is_table = F.coalesce(is_table, F.lit(False))
+    tables = F.collect_list(F.when(is_table, F.col("bbox"))).over(Window.partitionBy(*PAGE))
+    size = G.area(F.col("bbox"))
+    hit = F.exists("__tables", lambda t: G.overlap(F.col("bbox"), t) > threshold * size)
+    keys = F.col("doc_id").isNotNull() & F.col("page").isNotNull()  # null keys match nothing in the join
+    covered = F.coalesce(~is_table & keys & (size > 0) & hit, F.lit(False))
+    return blocks.withColumn("__tables", tables).where(~covered).drop("__tables")
+
+
 def detect_columns(blocks: DataFrame, min_blocks: int = 4, gap: float = 0.08, min_side: float = 0.2) -> DataFrame:
     """(doc_id, page, boundary) of the pages with two columns.
 
     The widest gap between neighbouring x-centres, the first among equals, must reach
     ``gap`` and leave ``min_side`` of the blocks on either side.
     """
-    return with_boundary(blocks.select(*PAGE, "pos", "bbox"), min_blocks, gap, min_side).where(F.col("boundary").isNotNull()).select(*PAGE, "boundary").distinct()
+    page = blocks.groupBy(*PAGE).agg(F.collect_list(_item()).alias("bs"))
+    return page.select(*PAGE, boundary_of(F.col("bs"), min_blocks, gap, min_side).alias("boundary")).where(F.col("boundary").isNotNull())
 
 
-def with_boundary(blocks: DataFrame, min_blocks: int = 4, gap: float = 0.08, min_side: float = 0.2) -> DataFrame:
-    """Each block with its page's ``boundary``, null on pages without two columns. Windows of one page need no join."""
-    page = Window.partitionBy(*PAGE)
-    order = page.orderBy("__xc", "pos")
-    gaps = blocks.withColumn("__xc", (F.col("bbox.x1") + F.col("bbox.x2")) / 2).withColumns({"__before": F.lag("__xc").over(order), "__left": F.row_number().over(order) - 1})
-    best = F.max(F.when(F.col("__before").isNotNull(), F.struct((F.col("__xc") - F.col("__before")).alias("gap"), (-F.col("__left")).alias("neg_left"), ((F.col("__before") + F.col("__xc")) / 2).alias("boundary"))))
-    whole = gaps.withColumns({"__n": F.count(F.lit(1)).over(page), "__best": best.over(page)})
-    left = -F.col("__best.neg_left")
-    enough = F.least(left, F.col("__n") - left) / F.col("__n") >= min_side
-    found = (F.col("__n") >= min_blocks) & (F.col("__best.gap") >= gap) & enough
-    return whole.withColumn("boundary", F.when(found, F.col("__best.boundary"))).drop("__xc", "__before", "__left", "__n", "__best")
+def _item(*row: str) -> Column:
+    """What the folds need of a block, flat, and the columns that travel with it; items sort from the top."""
+    x1, x2 = F.col("bbox.x1"), F.col("bbox.x2")
+    return F.struct(F.col("bbox.y1").alias("y1"), F.col("pos").cast("long").alias("pos"), F.col("bbox.y2").alias("y2"), x1.alias("x1"), ((x1 + x2) / 2).alias("centre"), (x2 - x1).alias("width"), *([F.struct(*row).alias("row")] if row else []))
 
 
-def number_bands(blocks: DataFrame, tolerance: float = 0.008, share: float = 0.3, by: tuple[str, ...] = PAGE) -> DataFrame:
-    """Give each block its horizontal band within ``by``.
+def boundary_of(items: Column, min_blocks: int = 4, gap: float = 0.08, min_side: float = 0.2) -> Column:
+    """The boundary between the columns of a page, given as an array of items; null if there is one column."""
+    n = F.size(items)
+    centres = F.sort_array(F.transform(items, lambda b: b["centre"]))
 
-    From the top: a block joins the band when they overlap by ``share`` of the lower one
-    of both heights, or it follows within the tolerance. A band's top is its first
-    block's; its bottom grows.
-    """
-    others = [c for c in blocks.columns if c not in by]
-    # The whole block travels with its key, so it needn't be joined again.
-    item = F.struct(F.col("bbox.y1").alias("y1"), F.col("pos").cast("long").alias("pos"), F.col("bbox.y2").alias("y2"), F.struct(*others).alias("row"))
-    page = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("bs"))
-    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("bottom"), F.lit(0).alias("band"), F.array().cast("array<int>").alias("out"))
+    def widest(xs: Column) -> Column:
+        return bind(F.zip_with(F.slice(xs, 2, n - 1), F.slice(xs, 1, n - 1), lambda x, before: x - before), lambda gaps: bind(F.array_max(gaps), lambda g: F.when(g >= gap, middle(xs, F.array_position(gaps, g).cast("int")))))
+
+    def middle(xs: Column, left: Column) -> Column:
+        return F.when(F.least(left, n - left) / n >= min_side, (F.element_at(xs, left) + F.element_at(xs, left + 1)) / 2)
+
+    return F.when(n >= min_blocks, bind(centres, widest))
+
+
+def bands_of(items: Column, tolerance: float, share: float, finish=lambda s: s["out"]) -> Column:
+    """The band of each item of an array that is sorted from the top."""
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("top"), none.alias("bottom"), F.lit(0).alias("band"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, b: Column) -> Column:
         shared = F.greatest(F.lit(0.0), F.least(s["bottom"], b["y2"]) - F.greatest(s["top"], b["y1"]))
         least = F.least(F.greatest(b["y2"] - b["y1"], F.lit(0.001)), F.greatest(s["bottom"] - s["top"], F.lit(0.001)))
         below = b["y1"] - s["bottom"]
         same = s["top"].isNotNull() & ((shared / least >= share) | ((below >= 0) & (below < tolerance)))
-        band = F.when(same, s["band"]).otherwise(s["band"] + 1)
-        return F.struct(F.when(same, s["top"]).otherwise(b["y1"]).alias("top"), F.when(same, F.greatest(s["bottom"], b["y2"])).otherwise(b["y2"]).alias("bottom"), band.alias("band"), F.concat(s["out"], F.array(band)).alias("out"))
+        joins = F.struct(s["top"].alias("top"), F.greatest(s["bottom"], b["y2"]).alias("bottom"), s["band"].alias("band"), F.array_append(s["out"], s["band"]).alias("out"))
+        opens = F.struct(b["y1"].alias("top"), b["y2"].alias("bottom"), (s["band"] + 1).alias("band"), F.array_append(s["out"], s["band"] + 1).alias("out"))
+        return F.when(same, joins).otherwise(opens)
+
+    return F.aggregate(items, start, step, finish)
+
+
+def number_bands(blocks: DataFrame, tolerance: float = 0.008, share: float = 0.3) -> DataFrame:
+    """Give each block its horizontal band on the page.
 
-    bands = F.aggregate("bs", start, step, lambda s: s["out"])
-    placed = page.select(*by, F.explode(F.zip_with("bs", bands, lambda b, n: F.struct(b["row"].alias("row"), n.alias("band")))).alias("b"))
-    return placed.select(*by, "b.row.*", "b.band")
+    From the top: a block joins the band when they overlap by ``share`` of the lower one
+    of both heights, or it follows within the tolerance. A band's top is its first
+    block's; its bottom grows.
+    """
+    # The whole block travels with its key, so it needn't be joined again.
+    page = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(_item(*[c for c in blocks.columns if c not in PAGE]))).alias("bs"))
+    placed = page.select(*PAGE, F.explode(F.zip_with("bs", bands_of(F.col("bs"), tolerance, share), lambda b, n: F.struct(b["row"].alias("row"), n.alias("band")))).alias("b"))
+    return placed.select(*PAGE, "b.row.*", "b.band")
 
 
 def reading_order(blocks: DataFrame, order: str = "top-to-bottom", tolerance: float = 0.008, wide: float = 0.60) -> DataFrame:
@@ -140,22 +167,36 @@ def reading_order(blocks: DataFrame, order: str = "top-to-bottom", tolerance: fl
         return blocks.withColumn("reading_pos", F.row_number().over(page.orderBy("bbox.x1", "bbox.y1", "pos")))
     if order != "top-to-bottom":
         return blocks.withColumn("reading_pos", F.row_number().over(page.orderBy("pos")))
-    sided = with_boundary(blocks)
-    centre = (F.col("bbox.x1") + F.col("bbox.x2")) / 2
-    side = F.when(F.col("boundary").isNull(), F.lit(0)).when(F.col("bbox.x2") - F.col("bbox.x1") >= wide, F.lit(2)).when(centre < F.col("boundary"), F.lit(0)).otherwise(F.lit(1))
-    banded = number_bands(sided.withColumn("__side", side), tolerance, by=(*PAGE, "__side"))
-    in_column = F.row_number().over(page.orderBy("__side", "band", "bbox.x1", "bbox.y1", "pos"))
-    ranked = banded.withColumn("__rank", in_column)
-    # Wide blocks: the first column row at or below their top; all after it if there is none.
-    column_row = F.when(F.col("__side") < 2, F.struct("__rank", F.col("bbox.y1").alias("y1")))
-    top = F.col("bbox.y1")
-    at = F.array_min(F.transform(F.filter("__rows", lambda r: r["y1"] >= top), lambda r: r["__rank"]))
-    placed = ranked.withColumn("__rows", F.collect_list(column_row).over(page)).withColumn("__at", F.when(F.col("__side") < 2, F.col("__rank")).otherwise(F.coalesce(at, F.lit(2147483647))))
-    # Wide blocks keep the order of their tops, so one can't pass another that still waits.
-    waits = Window.partitionBy(*PAGE, "__side").orderBy("bbox.y1", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("__at", F.when(F.col("__side") == 2, F.max("__at").over(waits)).otherwise(F.col("__at")))
-    final = F.row_number().over(page.orderBy("__at", F.when(F.col("__side") == 2, 0).otherwise(1), F.when(F.col("__side") == 2, top), F.when(F.col("__side") == 2, F.col("pos").cast("long")).otherwise(F.col("__rank"))))
-    return placed.withColumn("reading_pos", final).drop("__side", "__rank", "__rows", "__at", "band", "boundary")
+    pages = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(_item(*[c for c in blocks.columns if c not in PAGE]))).alias("bs"))
+    # A column of its own, since lambdas would compute it for every block.
+    sided = pages.withColumn("boundary", boundary_of(F.col("bs")))
+    found = sided.select(*PAGE, F.posexplode(in_reading_order(F.col("bs"), F.col("boundary"), tolerance, wide)).alias("__n", "b"))
+    return found.select(*PAGE, "b.row.*", (F.col("__n") + 1).alias("reading_pos"))
+
+
+def in_reading_order(items: Column, boundary: Column, tolerance: float, wide: float) -> Column:
+    """The items of a page, a column sorted from the top, in reading order."""
+    is_wide = lambda b: F.coalesce(b["width"] >= wide, F.lit(False))
+    is_left = lambda b: F.coalesce(b["centre"] < boundary, F.lit(False))
+
+    def by_band(column: Column) -> Column:
+        # Null where each band is of one block: such a column is in order already.
+        bands = bands_of(column, tolerance, 0.3, lambda s: F.when(s["band"] < F.size(s["out"]), s["out"]))
+        keys = F.sort_array(F.zip_with(column, bands, lambda b, n: F.struct(n.alias("band"), b["x1"].alias("x1"), b["y1"].alias("y1"), b["pos"].alias("pos"), b.alias("b"))))
+        return F.coalesce(F.transform(keys, lambda k: k["b"]), column)
+
+    def with_wide(columns: Column) -> Column:
+        # The lowest top so far only sinks along the columns, and a wide block comes before the
+        # first row where it reaches the block's own top: one sort merges both.
+        start = F.struct(F.lit(None).cast("double").alias("low"), F.array().cast("array<double>").alias("out"))
+        lows = F.aggregate(columns, start, lambda s, b: F.struct(F.greatest(s["low"], b["y1"]).alias("low"), F.array_append(s["out"], F.greatest(s["low"], b["y1"])).alias("out")), lambda s: s["out"])
+        rows = bind(lows, lambda at: F.transform(columns, lambda b, k: F.struct(F.get(at, k).alias("at"), F.lit(1).alias("column"), k.alias("k"), b.alias("b"))))
+        last = F.lit(float("nan"))  # above all numbers
+        waiting = F.transform(F.filter(items, is_wide), lambda b, k: F.struct(F.coalesce(b["y1"], last).alias("at"), F.lit(0).alias("column"), k.alias("k"), b.alias("b")))
+        return F.transform(F.sort_array(F.concat(rows, waiting)), lambda m: m["b"])
+
+    columns = F.concat(bind(F.filter(items, lambda b: ~is_wide(b) & is_left(b)), by_band), bind(F.filter(items, lambda b: ~is_wide(b) & ~is_left(b)), by_band))
+    return F.when(boundary.isNull(), by_band(items)).when(F.exists(items, is_wide), bind(columns, with_wide)).otherwise(columns)
 
 
 def merge_nearby_boxes(boxes: DataFrame, threshold: float = 0.01) -> DataFrame:

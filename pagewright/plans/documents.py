@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -50,6 +50,13 @@ def merge_tables(texts: DataFrame, found: DataFrame, config: EngineConfig = Engi
     return layout.reading_order(both, tolerance=config.reading_order_y_tolerance)
 
 
+def merge_marked(blocks: DataFrame, is_table: Column, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """``merge_tables`` for text blocks and tables in one frame: it is read once, and keeps its own columns."""
+    kept = layout.outside_tables(blocks, is_table, config.table_overlap)
+    placed = kept.withColumn("pos", F.col("pos") + F.when(is_table, F.lit(AFTER_TEXT)).otherwise(F.lit(0)))
+    return layout.reading_order(placed, tolerance=config.reading_order_y_tolerance)
+
+
 def assemble(pages: DataFrame, blocks: DataFrame, files: DataFrame) -> DataFrame:
     """Document trees: every page 1..n is there, a page without blocks as an empty digital one."""
     block = F.struct("block_id", "type", "text", G.to_array(F.col("bbox")).alias("bbox"), "confidence", "rows", F.transform("lines", lambda x: F.struct(x["text"].alias("text"), G.to_array(x["bbox"]).alias("bbox"))).alias("lines"))

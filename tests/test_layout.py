@@ -159,3 +159,22 @@ def test_merged_blocks_join_tables_only(spark):
     df = spark.createDataFrame([("d", 1, 1, (0.1, 0.1, 0.2, 0.2))], BLOCKS).selectExpr("*", "'b' AS block_id", "'t' AS text")
     plan = documents.merge_tables(df, df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and plan.count("LogicalRDD") == 3
+
+
+def test_merged_blocks_query_reads_its_items_once_without_a_join(spark):
+    from pagewright.plans import registry
+
+    plan = registry.queries()["merged_blocks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_marked_blocks_merge_as_separate_ones(spark):
+    from pagewright.plans import documents
+
+    rng = random.Random(7)
+    rows = [(*r, f"{r[2]}", rng.random() < 0.4) for d in range(120) for r in random_page(rng, f"d{d}")]
+    rows += [(None, 1, 0, (0.0, 0.0, 0.5, 0.5), "x", False), (None, 1, 1, (0.0, 0.0, 1.0, 1.0), "t", True)]
+    df = spark.createDataFrame(rows, BLOCKS + ", block_id string, tab boolean")
+    key = lambda out: sorted(((r.doc_id, r.block_id, r.reading_pos) for r in out.collect()), key=repr)
+    want = key(documents.merge_tables(df.where("NOT tab"), df.where("tab")))
+    assert key(documents.merge_marked(df, F.col("tab"))) == want and 122 < len(want) < len(rows)
